@@ -66,7 +66,7 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE, most: int = BYTES_AT
         at = end
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], rows: int = ROWS_AT_ONCE) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], rows: int = ROWS_AT_ONCE, most: int = BYTES_AT_ONCE) -> DataFrame:
     """mapInArrow in slices of some rows; make() builds a worker's function once a task.
 
     The function takes a slice and returns its output columns by name, in the order of the schema.
@@ -80,7 +80,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, rows):
+            for part in slices(batch, rows, most):
                 out = f(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == t.type else pa.array(x, t.type, from_pandas=False) for x, t in ((out[t.name], t) for t in arrow)], schema=arrow)
