@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, read_table
+from tessera.llm.common import ROWS_AT_ONCE, map_batches, read_table, tune
 
 #: Bound of the training sample: about so many texts of each language, picked by a hash of their id.
 TEXTS_A_LANGUAGE = 400
@@ -240,6 +242,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), SCHEMA, make)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """The rows of docs whose text has a language and a score of at least `least`, with all of their columns.
+
+    A null language becomes the predicted one. Decided row by row, without a join.
+    """
+    tune(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, score double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(sent.value)
+        for s in batches:
+            found = [x[:2] for at in range(0, len(s), ROWS_AT_ONCE) for x in labeller.label(s.iloc[at : at + ROWS_AT_ONCE].tolist())]
+            yield pd.DataFrame(found, columns=["lang", "score"])
+
+    told = docs.withColumn("__told", label(F.col(text_col)))
+    told = told.where((F.col("__told.lang") != UNKNOWN) & (F.col("__told.score") >= least))
+    return told.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__told.lang"))).drop("__told")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
