@@ -1 +1 @@
-
+"""Dataset-level metrics over boxes, image features and annotated instances."""

@@ -20,6 +20,7 @@ def build_session(app: str = "tessera", cpus: int | str = "*", shuffle_partition
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )

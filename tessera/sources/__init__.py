@@ -1 +1 @@
-
+"""Readers of image folders and label files."""
