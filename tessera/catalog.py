@@ -280,9 +280,9 @@ def knn_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.neighbour_impurity(instances(spark, sf_dir)))
 
 
-@query(f"WITH {NEAREST} SELECT id, rank::INT AS rank, near_id, round(s, 6) AS similarity FROM top")
+@query(f"WITH {NEAREST} SELECT id, rank::INT AS rank, near_id, s AS similarity FROM top")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.nearest(instances(spark, sf_dir)).select("id", "rank", "near_id", "similarity"))
+    return A.nearest(instances(spark, sf_dir)).select("id", "rank", "near_id", "similarity")
 
 
 @query(f"""WITH {VECTORS}, c AS (SELECT pos, avg(x) AS m FROM z GROUP BY pos), d AS (SELECT vec_id, sqrt(sum((x - m) ^ 2)) AS d FROM z JOIN c USING (pos) GROUP BY vec_id)
