@@ -6,13 +6,16 @@ COORDINATES + k it is bin k, so that every bin fills. Two sketches agree in a bi
 the sets' similarity, concentrated as for independent hashes. Bands of ROWS bins become bucket keys: a pair
 of similarity 0.8 misses all of the 32 bands with probability 5e-8.
 
-Equal sets are one node. In a bucket the node that shares the most buckets is compared with all others;
-nodes of one bucket that still are in different components are then compared with each other.
+Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
+centre's family: two nodes of one bucket are in one family. In a family all pairs are decided on the full
+sets, but for those of nodes that are both linked with the centre and so already in one component. A family
+of very many shingles is dealt out by pairs of its parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ COORDINATES, ROWS = 128, 4
 #: Link sets whose intersection times PER is at least AT_LEAST times their union.
 AT_LEAST, PER = 80, 100
 WORDS = 4
-STAR_ROUNDS = 3
+#: Shingles in a part of a family; a task holds two parts at most.
+PART = 2_000_000
 SKETCH_SCHEMA = "doc_id long, n_shingles long, sid binary, bands array<long>"
 SETS_SCHEMA = "sid binary, shingles binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -155,26 +159,78 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), SETS_SCHEMA, make)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
+def family_links(sets: list[np.ndarray], at_least: int = AT_LEAST) -> list[tuple[int, int]]:
+    """Links between sets, by number, that tie together all that are similar enough; the first set is the centre.
 
-    def make():
-        def run(batch):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int(np.count_nonzero(y[at] == x))
-                keep.append(PER * common >= at_least * (len(x) + len(y) - common))
-            mask = pa.array(keep)
-            return {"a": batch.column(0).filter(mask), "b": batch.column(1).filter(mask)}
-
-        return run
-
-    return map_batches(both.select("a", "b", "sa", "sb"), "a binary, b binary", make)
+    Each set that isn't linked with the centre is compared with all the others at once, by marks in a table
+    of the family's shingles.
+    """
+    sizes = np.array([len(s) for s in sets])
+    kinds, items = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(len(kinds), np.uint8)
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links, done = [], np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        if done[i]:
+            continue
+        own = items[starts[i] : ends[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[items], starts, dtype=np.int64)
+        mark[own] = 0
+        near = PER * common >= at_least * (sizes + sizes[i] - common)
+        for j in np.flatnonzero(near).tolist():
+            if (a := find(i)) != (b := find(j)):
+                root[b] = a
+                links.append((i, j))
+        done[i] = True
+        if i == 0:
+            done |= near
+    return links
+
+
+def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
+    """Links (a, b) between the members of each family (centre, sid, n): enough of them to tie its components.
+
+    A family of more than PART shingles is cut into parts by hash, and each pair of parts is a task's, with
+    the centre in each; so every pair of members meets, and no task holds an unbounded group.
+    """
+    parts = families.groupBy("centre").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    rows = families.join(parts, "centre").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    every = F.flatten(F.transform(others, lambda i: F.transform(F.sequence(i, F.col("parts") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    mine = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("sid") == F.col("centre"), every).otherwise(mine)))
+    rows = rows.select("centre", "task.i", "task.j", (F.col("sid") != F.col("centre")).alias("later"), "sid").join(sets, "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, held = None, [], []
+
+        def settle() -> pa.RecordBatch:
+            pairs = family_links(held, at_least) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[k[e]] for k in pairs], pa.binary()) for e in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield settle()
+                    key, names, held = row[:3], [], []
+                names.append(row[4])
+                held.append(np.frombuffer(row[5], np.uint64))
+        if held:
+            yield settle()
+
+    dealt = rows.select("centre", "i", "j", "later", "sid", "shingles").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "later")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, at_least: int = AT_LEAST) -> DataFrame:
@@ -196,49 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = docs.join(hubs.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = sets_of(sets, words).join(hubs.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    live = materialize(live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid"), "members")
-    fits = F.expr(f"{PER} * least(n, cn) >= {at_least} * greatest(n, cn)")
-    ordered = F.struct("hub", "sid")
-
-    def pairs_with(centres: DataFrame, members: DataFrame) -> DataFrame:
-        some = members.join(centres, "band").where("sid <> centre").where(fits)
-        return some.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
-
-    tested = links = None
-    roots = None
-    members = live
-    for k in range(STAR_ROUNDS):
-        if roots is not None:
-            # Buckets that hold several components go on, without the centres that were compared with all of it.
-            placed = live.join(roots, live.sid == roots.node, "left").select("band", "sid", "n", "hub", F.coalesce("root", "sid").alias("root"))
-            mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-            members = placed.join(mixed, "band")
-        left = members if k == 0 else members.join(used, ["band", "sid"], "left_anti")
-        centres = left.groupBy("band").agg(F.max(ordered).alias("c"), F.max_by("n", ordered).alias("cn")).select("band", F.col("c.sid").alias("centre"), "cn")
-        centres = materialize(centres, "centres")
-        used = centres.select("band", F.col("centre").alias("sid")) if k == 0 else used.union(centres.select("band", F.col("centre").alias("sid")))
-        new = pairs_with(centres, left)
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-            new = across(new, roots)
-        new = materialize(new, "pairs")
-        if k and new.isEmpty():
-            break
-        tested = new if tested is None else tested.union(new)
-        more = materialize(verified(new, sets, at_least), "links")
-        links = more if links is None else links.union(more)
-        roots = materialize(connected(links), "roots")
-    # What is left: pairs of one bucket in different components that no centre has settled.
-    placed = live.join(roots, live.sid == roots.node, "left").select("band", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-    rest = placed.join(mixed, "band").join(used, ["band", "sid"], "left_anti")
-    rest = materialize(rest, "rest")
-    other = rest.select("band", F.col("sid").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("other"))
-    new = rest.join(other, "band").where("sid < centre AND root <> other").where(fits).select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    new = materialize(new, "pairs")
-    if not new.isEmpty():
-        links = links.union(materialize(verified(new, sets, at_least), "links"))
-        roots = materialize(connected(links), "roots")
+    live = live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid")
+    centres = live.groupBy("band").agg(F.max(F.struct("hub", "sid")).alias("c")).select("band", F.col("c.sid").alias("centre"))
+    families = materialize(live.join(centres, "band").select("centre", "sid", "n").distinct(), "families")
+    links = materialize(linked(families, sets, at_least), "links")
+    roots = connected(links)
     classes = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = classes.join(least, "root").select("sid", "component_id")
@@ -247,12 +265,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
-def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component."""
-    x = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where("NOT coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b")
-
-
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
