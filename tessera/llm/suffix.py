@@ -28,12 +28,12 @@ from tessera.llm.minhash import BASE, INVERSE, mix
 
 LENGTH, GRAM = 200, 64
 #: Bytes parsed at once. Positions have 24 bits next to 40 bits of hash in the window minimum.
-PART = 1 << 20
-#: Occurrences from which on a trigger's strings are compared by digest over all tasks, not in one.
+PART = 1 << 19
+#: Different phrases from which on a trigger's strings are compared by digest over all tasks, not in one.
 HOT = 2000
 #: Bytes of a dictionary that is sorted at once; the phrases of one trigger stay together.
-DICTIONARY = 2 << 20
-PARSE_SCHEMA = "trigger long, phrase long, text_key long, lo long, hi long"
+DICTIONARY = 1 << 20
+PARSE_SCHEMA = "trigger long, phrase long, text_key long, lo long, hi long, doc_id long"
 
 
 @cache
@@ -105,14 +105,14 @@ def parsed(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def make():
         def run(batch):
-            raws = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
             who, trigger, phrase, lo, hi = parse(raws, length, gram)
             keys = np.array([text_key(r) if len(r) >= length else 0 for r in raws], np.int64)
-            return {"trigger": pa.array(trigger), "phrase": pa.array(phrase), "text_key": pa.array(keys[who]), "lo": pa.array(lo), "hi": pa.array(hi)}
+            return {"trigger": pa.array(trigger), "phrase": pa.array(phrase), "text_key": pa.array(keys[who]), "lo": pa.array(lo), "hi": pa.array(hi), "doc_id": batch.column(0).take(pa.array(who))}
 
         return run
 
-    return map_batches(docs.select("text"), PARSE_SCHEMA, make)
+    return map_batches(docs, PARSE_SCHEMA, make)
 
 
 def suffix_ranks(data: bytes, depth: int) -> np.ndarray:
@@ -178,6 +178,8 @@ def result(raw: bytes, starts: np.ndarray, length: int) -> tuple[int, int, int,
     return len(raw), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), pack(spans + [0, 1])
 
 
+#: What is known of a phrase's strings: repeated; repeated, and its bytes are for comparison; to be compared.
+SURE, GIVES, OPEN = 0, 1, 2
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"
 
 
@@ -191,25 +193,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parse_rows = parsed(docs, length, gram)
     triggers = parse_rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("p1"), F.max("phrase").alias("p2")).where("n > 1")
-    triggers = triggers.select("trigger", F.when(F.col("p1") == F.col("p2"), 0).otherwise(F.col("n")).alias("n"))
-    shared = parse_rows.join(triggers, "trigger").groupBy("text_key", "trigger", "phrase", "lo", "hi").agg(F.first("n").alias("n"))
-    # By text: what is repeated for certain (n = 0), and the phrases to compare.
-    by_text = shared.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi", "n", "trigger")).alias("found"))
-    keyed = with_key(docs, length)
-    both = keyed.join(by_text, "text_key", "left").select("doc_id", "text_key", "raw", "found")
+    shared = materialize(parse_rows.join(triggers.select("trigger", (F.col("p1") == F.col("p2")).alias("same")), "trigger"), "parse")
+    # The dictionary: phrases that share a trigger with another one. One that occurs twice is repeated for
+    # certain; of its places the least one gives its bytes, which other phrases are compared with.
+    place = F.struct("doc_id", "text_key", "lo")
+    dictionary = shared.where("NOT same").groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"))
+    dictionary = materialize(dictionary, "dictionary")
+    crowds = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT).select("trigger", F.lit(True).alias("hot"))
+    known = dictionary.join(crowds, "trigger", "left")
+    rest = shared.where("NOT same").join(known, ["trigger", "phrase"])
+    state = F.when(F.col("m") == 1, OPEN).when((F.col("text_key") == F.col("place.text_key")) & (F.col("lo") == F.col("place.lo")), GIVES).otherwise(SURE)
+    entry = lambda state, hot, doc: F.struct("lo", "hi", state.alias("state"), "trigger", hot.alias("hot"), doc.alias("doc"))
+    entries = shared.where("same").select("text_key", entry(F.lit(SURE), F.lit(False), F.lit(None).cast("long")).alias("e"))
+    entries = entries.union(rest.select("text_key", entry(state, F.coalesce("hot", F.lit(False)), F.col("place.doc_id")).alias("e")))
+    by_text = entries.distinct().groupBy("text_key").agg(F.collect_list("e").alias("found"))
+    both = with_key(docs, length).join(by_text, "text_key", "left").select("doc_id", "text_key", "raw", "found")
 
     def first_pass():
         def run(batch):
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "open", "raw")}
-            for raw, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, raw, found in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 found = found or []
-                sure = np.array([(f["lo"], f["hi"]) for f in found if f["n"] == 0], np.int64).reshape(-1, 2)
-                rest = np.array([(f["lo"], f["hi"], f["n"], f["trigger"]) for f in found if f["n"]], np.int64).reshape(-1, 4)
-                if len(rest):
-                    row = (len(raw), None, None, None, pack(sure), pack(rest), raw)
-                else:
-                    row = (*result(raw, sure, length), None, None)
-                for k, v in zip(out, row, strict=True):
+                sure = np.array([(f["lo"], f["hi"]) for f in found if f["state"] != OPEN], np.int64).reshape(-1, 2)
+                wait = any(f["state"] == OPEN for f in found)
+                give = [(f["lo"], f["hi"], f["hot"], f["trigger"]) for f in found if f["state"] == OPEN or f["state"] == GIVES and f["doc"] == doc]
+                row = (len(raw), None, None, None, pack(sure)) if wait else result(raw, sure, length)
+                more = (pack(np.array(give, np.int64)), raw) if give else (None, None)
+                for k, v in zip(out, (*row, *more), strict=True):
                     out[k].append(v)
             return {"doc_id": batch.column(0), "text_key": batch.column(1), **out}
 
@@ -217,20 +227,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = map_batches(both, f"doc_id long, text_key long, {RESULT}, open binary, raw binary", first_pass)
     first = materialize(first, "first-pass")
-    pending = first.where("open IS NOT NULL")
 
     def phrases_of():
         def run(batch):
-            out = {k: [] for k in ("trigger", "n", "text_key", "lo", "bytes")}
+            out = {k: [] for k in ("trigger", "hot", "text_key", "lo", "bytes")}
             for key, rest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for lo, hi, n, trigger in np.frombuffer(rest, "<i8").reshape(-1, 4).tolist():
-                    for k, v in zip(out, (trigger, n, key, lo, raw[lo : hi + length]), strict=True):
+                for lo, hi, hot, trigger in np.frombuffer(rest, "<i8").reshape(-1, 4).tolist():
+                    for k, v in zip(out, (trigger, bool(hot), key, lo, raw[lo : hi + length]), strict=True):
                         out[k].append(v)
             return out
 
         return run
 
-    phrases = map_batches(pending.select("text_key", "open", "raw"), "trigger long, n long, text_key long, lo long, bytes binary", phrases_of)
+    phrases = map_batches(first.where("open IS NOT NULL").select("text_key", "open", "raw"), "trigger long, hot boolean, text_key long, lo long, bytes binary", phrases_of)
 
     def compare(batches):
         held: list[tuple[int, int, int, bytes]] = []
@@ -254,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield settle(held)
 
-    cold = phrases.where(F.col("n") <= HOT).select("trigger", "text_key", "lo", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "text_key long, starts binary")
+    cold = phrases.where("NOT hot").select("trigger", "text_key", "lo", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "text_key long, starts binary")
 
     # Strings of triggers that very many texts share: by 128-bit digest, counted with partial sums in each task.
     def strings_of():
@@ -270,11 +279,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    strings = map_batches(phrases.where(F.col("n") > HOT).select("text_key", "lo", "bytes"), "text_key long, x long, h1 long, h2 long", strings_of)
+    strings = map_batches(phrases.where("hot").select("text_key", "lo", "bytes"), "text_key long, x long, h1 long, h2 long", strings_of)
     again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
     hot = strings.join(again, ["h1", "h2"]).select("text_key", F.concat(le64("x"), le64("x")).alias("starts"))
     starts = cold.union(hot).groupBy("text_key").agg(F.collect_list("starts").alias("found"))
-    late = pending.select("doc_id", "text_key", "removed", "raw").join(starts, "text_key", "left").select("doc_id", "removed", "raw", "found")
+    late = first.where("n_removed IS NULL").select("doc_id", "text_key", "removed", "raw").join(starts, "text_key", "left").select("doc_id", "removed", "raw", "found")
 
     def second_pass():
         def run(batch):
@@ -287,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    done = first.where("open IS NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    done = first.where("n_removed IS NOT NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
     return done.unionByName(map_batches(late, f"doc_id long, {RESULT}", second_pass))
 
 
