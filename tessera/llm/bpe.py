@@ -10,8 +10,9 @@ array; long ones have a tree of their own.
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, read_table
 
-#: Pieces that a worker remembers; when full it starts anew, which changes speed only.
-CACHE = 400_000
+#: Words and pieces that a worker remembers, twice at most; what wasn't used since the last time is then forgotten.
+WORDS, PIECES = 600_000, 300_000
+#: A space beside white space: texts without it can be cut before each space, and no piece is cut in two.
+UNEVEN = re.compile(r" \s|[^\S ] ")
 #: Pieces of more bytes get a tree of their own.
 LONG = 256
 NONE = 1 << 60
@@ -41,9 +44,10 @@ class BytePairs:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.memory = Memory(self.find, self.encode_pieces)
 
     @classmethod
+    @cache
     def from_tiktoken(cls, path: str, pattern: str) -> BytePairs:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
@@ -167,22 +171,74 @@ class BytePairs:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        return encode_cached(texts, self.find, self.cache, self.encode_pieces)
+        return self.memory.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_cached(texts: list[str | None], find: Callable, cache: dict, encode: Callable) -> list[bytes]:
-    """Each text's pieces, encoded one by one and joined; encode() gets the pieces that the cache lacks."""
-    split = [find(t) if t else [] for t in texts]
-    lack = {p for pieces in split for p in pieces if p not in cache}
-    if lack:
-        if len(cache) + len(lack) > CACHE:
-            cache.clear()
-            lack = {p for pieces in split for p in pieces}
-        cache.update(encode(list(lack)))
-    return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+class Recent:
+    """Ids by piece, in two generations: a full younger one becomes the older, whose pieces come back when used."""
+
+    def __init__(self, most: Callable[[], int], encode: Callable[[list[str]], list[bytes]]):
+        self.most, self.encode = most, encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of all the pieces; what isn't remembered is encoded."""
+        young = self.young
+        own = {p: young[p] for p in pieces if p in young}
+        if len(own) < len(pieces):
+            old = self.old
+            new = {p: old[p] for p in pieces if p not in own and p in old}
+            lack = [p for p in pieces if p not in own and p not in new] if len(own) + len(new) < len(pieces) else []
+            new.update(zip(lack, self.encode(lack), strict=True))
+            if len(young) + len(new) > self.most():
+                self.old, self.young = young, new
+            else:
+                young.update(new)
+            own.update(new)
+        return own
+
+
+class Memory:
+    """Encodes texts whose splitter is `find`, each distinct piece once and each distinct word once.
+
+    Pieces hold at most one space, as their first character, unless white space stands beside it; other
+    texts are cut into words before each space, a word's ids being those of its pieces in turn.
+    encode_words(), if given, takes words without the space before them.
+    """
+
+    def __init__(self, find: Callable, encode: Callable[[list[str]], dict[str, bytes]], encode_words: Callable | None = None):
+        self.find = find
+        self.pieces = Recent(lambda: PIECES, lambda lack: list(map(encode(lack).__getitem__, lack)))
+        self.words = Recent(lambda: WORDS, encode_words or (lambda words: self.split_and_encode([" " + w for w in words])))
+
+    def split_and_encode(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.find, texts))
+        own = self.pieces.of(set().union(*split))
+        return [b"".join(map(own.__getitem__, pieces)) for pieces in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole, cut = [], []
+        for t in texts:
+            if t and even(t):
+                first, *rest = t.split(" ")
+                whole.append(first)
+                cut.append(rest)
+            else:
+                whole.append(t or "")
+                cut.append(())
+        own = self.words.of(set().union(*cut))
+        return [a + b"".join(map(own.__getitem__, b)) for a, b in zip(self.split_and_encode(whole), cut, strict=True)]
+
+
+def even(text: str) -> bool:
+    """Whether no white space stands beside a space."""
+    if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c"):
+        return "  " not in text and " \n" not in text and "\n " not in text
+    return not UNEVEN.search(text)
 
 
 def default_vocabulary() -> tuple[str, str]:

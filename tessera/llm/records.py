@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import Memory
 from tessera.llm.common import read_table, scratch, slices, tune
 
 #: Bytes after which a task begins another file.
 SHARD_BYTES = 64 << 20
+#: Words to a line when they are encoded together.
+JOINED = 500
 #: Fixed values of the format: the polynomial of CRC-32C, reflected, and the mask's addend.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK = 512
@@ -106,8 +109,12 @@ def file_system(folder: str):
     return FileSystem.from_uri(folder)
 
 
+@cache
 class Pieces:
-    """Encodes texts with a tokenizer file of the tokenizers library, each distinct piece of its splitter once."""
+    """Encodes texts with a tokenizer file of the tokenizers library, each distinct piece of its splitter once.
+
+    One a worker process, whatever the number of its tasks.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,16 +125,43 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True
         self.find = regex.compile(pattern).findall
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.memory = Memory(self.find, self.encode_pieces, self.encode_words)
+        self.encode = self.memory.encode
+        self.stops = {c: self.encode_pieces([c])[c] for c in ".,"}
+        #: Whether a token begins with a space, which the byte-level alphabet writes as U+0120.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return {p: np.array(e.ids, f"<u{self.width}").tobytes() for p, e in zip(pieces, found, strict=True)}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        from tessera.llm.bpe import encode_cached
-
-        return encode_cached(texts, self.find, self.cache, self.encode_pieces)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it.
+
+        A full stop or comma after a letter or digit is a piece of its own, so that the word is encoded
+        without it. Words are encoded many to a line, and cut at tokens that begin with a space.
+        """
+        ends = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in self.stops and w[-2].isalnum()}
+        plain = list({ends.get(w, w) for w in words})
+        found = dict(zip(plain, self.encode_plain(plain), strict=True))
+        return [found[ends[w]] + self.stops[w[-1]] if w in ends else found[w] for w in words]
+
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        some = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False)
+        out: list[bytes] = []
+        for group, e in zip(some, found, strict=True):
+            ids = np.array(e.ids, f"<u{self.width}")
+            cuts = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
+            raw = ids.tobytes()
+            if len(cuts) == len(group) and not cuts[0]:
+                cuts.append(len(raw))
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:  # white space at a word's end
+                out += self.memory.split_and_encode([" " + w for w in group])
+        return out
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
