@@ -193,7 +193,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parse_rows = parsed(docs, length, gram)
     triggers = parse_rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("p1"), F.max("phrase").alias("p2")).where("n > 1")
-    shared = materialize(parse_rows.join(triggers.select("trigger", (F.col("p1") == F.col("p2")).alias("same")), "trigger"), "parse")
+    # Written first, so that the join's two sides are dealt out anew and hot triggers can be split.
+    triggers = materialize(triggers.select("trigger", (F.col("p1") == F.col("p2")).alias("same")), "triggers")
+    shared = materialize(parse_rows.join(triggers, "trigger"), "parse")
     # The dictionary: phrases that share a trigger with another one. One that occurs twice is repeated for
     # certain; of its places the least one gives its bytes, which other phrases are compared with.
     place = F.struct("doc_id", "text_key", "lo")
