@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = live.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     live = materialize(live.join(shared, "band"), "buckets")
     hubs = live.groupBy("sid").agg(F.sum(F.col("m") - 1).alias("hub"), F.first("rep").alias("rep"))
-    sets = docs.join(hubs.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    # Sorted and merged at every size: the ids of a whole corpus aren't to be broadcast.
+    sets = docs.join(hubs.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = sets_of(sets, words).join(hubs.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     live = live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid")
