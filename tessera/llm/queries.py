@@ -14,9 +14,11 @@ from tessera.llm.langid import op5_language_id
 from tessera.llm.licenses import op4_license_scan
 from tessera.llm.licenses import oracle as license_oracle
 from tessera.llm.minhash import op8_minhash_dedup
+from tessera.llm.minhash import oracle as minhash_oracle
 from tessera.llm.records import op1_token_records
 from tessera.llm.secrets import op10_secret_scan
 from tessera.llm.suffix import op6_suffix_dedup
+from tessera.llm.suffix import oracle as suffix_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
@@ -30,4 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op4_license_scan": license_oracle()}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_oracle(),
+    "op6_suffix_dedup": suffix_oracle(),
+    "op8_minhash_dedup": minhash_oracle(),
+}

@@ -322,3 +322,20 @@ def with_key(docs: DataFrame, length: int) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def oracle() -> str:
+    """The same removals as DuckDB SQL, by all strings: texts are hexadecimal there, two digits a byte."""
+    n = LENGTH
+    return f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, x, md5(substr(h, 2 * x + 1, {2 * n})) AS s FROM t, unnest(range(0, greatest(len(h) // 2 - {n - 1}, 0))) AS r(x)),
+hits AS (SELECT doc_id, x FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+marked AS (SELECT doc_id, x, coalesce(x > lag(x) OVER (PARTITION BY doc_id ORDER BY x) + {n}, true)::INT AS new FROM hits),
+grouped AS (SELECT doc_id, x, sum(new) OVER (PARTITION BY doc_id ORDER BY x) AS g FROM marked),
+spans AS (SELECT doc_id, min(x) AS a, max(x) + {n} AS b FROM grouped GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, coalesce(2 * (b - a), len(h))), '' ORDER BY a) AS h FROM gaps g JOIN t ON t.doc_id = g.doc_id GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, (len(t.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN sums s ON s.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id"""
