@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -69,7 +69,7 @@ def blocks(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.nd
     """(text, block, word) of each word of the vocabulary in the texts, and the texts' words."""
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split])
-    found = np.fromiter((i for words in split for i in map(vocabulary.get, words, repeat(-1))), np.int64, int(sizes.sum()))
+    found = np.fromiter(map(vocabulary.get, chain.from_iterable(split), repeat(-1)), np.int64, int(sizes.sum()))
     at = np.flatnonzero(found >= 0)
     owner = np.repeat(np.arange(len(split)), sizes)[at]
     place = at - (np.cumsum(sizes) - sizes)[owner]
@@ -201,18 +201,25 @@ class Finder:
         keep = n > 1
         who, first, vectors = who[keep], first[keep], vectors[keep]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        kinds = [frozenset(p) for _, p in items.parts]
+        # Each word of a part that isn't there is one less in order.
+        spare = [math.floor((1 - IN_ORDER) * len(p) + 1e-9) for _, p in items.parts]
         for at in range(0, len(who), 20_000):
             v = vectors[at : at + 20_000]
             cosine = v @ self.probes
             cosine /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                text, start = int(who[at + p]), int(first[at + p]) * STRIDE
+            last = -1
+            for p, q in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE)), strict=True):
+                if p != last:
+                    last, text, start = p, int(who[at + p]), int(first[at + p]) * STRIDE
+                    some = split[text][max(start - PART, 0) : start + SPAN * STRIDE + PART]
+                    there = set(some)
+                if len(kinds[q] - there) > spare[q]:
+                    continue
                 item, part = items.parts[q]
-                some = split[text][max(start - PART, 0) : start + SPAN * STRIDE + PART]
                 share = in_order(part, some) / len(part)
                 if share < IN_ORDER:
                     continue
-                there = set(some)
                 own = [w for w in items.answers[item] if w in part] or part
                 answer = sum(w in there for w in own) / len(own)
                 if answer >= ANSWER:
