@@ -19,9 +19,12 @@ from tessera.operators import style as Y
 from tessera.operators.features import image_features
 from tessera.sources.images import quarantine, read_images, with_ordinals
 from tessera.sources.labels import read_labels
+from tessera.sources.paths import folder_size
 
 BY = ["dataset_id"]
 FAMILIES = ("spatial", "optical", "style", "annotation")
+#: Bytes up to which boxes and names are broadcast to the pixels: label text bounds the boxes, a name counts NAME bytes.
+BROADCAST, NAME = 64 << 20, 200
 #: Instances below which annotations aren't scored.
 LEAST_INSTANCES = 10
 
@@ -46,20 +49,23 @@ def load(spark: SparkSession, images_dir: str, labels_dir: str, dataset_id: str
     """Scan, decode and join one split. An unreadable image raises in mode "strict" and is set apart in "permissive".
 
     Labels join images by stem: two images of one stem share a label file, label files without an image are
-    not read further. `embed` turns crops into vectors; without it instances have none.
+    not read further. Boxes and ordinals are broadcast if the folders' sizes bound them by BROADCAST, so that
+    pixels aren't shuffled; beyond that they are, once each. `embed` turns crops into vectors; without it instances have none.
     """
     listed = read_images(spark, images_dir, dataset_id)
     bad = quarantine(listed)
     if mode == "strict" and (some := bad.limit(1).collect()):
         raise ValueError(f"unreadable image: {some[0]['image_id']}")
-    images = with_ordinals(listed)
+    few_names = NAME * folder_size(spark, images_dir)[1] <= BROADCAST
+    few_boxes = few_names and folder_size(spark, labels_dir)[0] <= BROADCAST
+    images = with_ordinals(listed, few_names)
     labels = read_labels(spark, labels_dir, dataset_id, mode)
     shape = images.select("dataset_id", "image_id", "stem", "ordinal", F.col("width").cast("double").alias("w_img"), F.col("height").cast("double").alias("h_img"))
     boxes = P.with_corners(shape.join(labels, ["dataset_id", "stem"]).withColumn("box_id", F.col("line_no").cast("long")))
     tight, crop = (f(*(F.col(c) for c in (*G.CORNERS, "w_img", "h_img")), *more) for f, more in ((G.outward, ()), (G.padded, (pad_ratio,))))
     drawn = boxes.select("dataset_id", "image_id", F.struct("box_id", "cls", F.array(*crop.values()).alias("crop"), F.array(*tight.values()).alias("tight")).alias("b"))
     drawn = drawn.groupBy("dataset_id", "image_id").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
-    pixels = images.select("dataset_id", "image_id", "ordinal", "height", "width", "channels", "data").join(drawn, ["dataset_id", "image_id"], "left")
+    pixels = images.select("dataset_id", "image_id", "ordinal", "height", "width", "channels", "data").join(F.broadcast(drawn) if few_boxes else drawn, ["dataset_id", "image_id"], "left")
     features = image_features(pixels, embed, **options)
     details = features.select("dataset_id", "image_id", "ordinal", F.explode("box_details").alias("d")).select("dataset_id", "image_id", "ordinal", "d.*")
     instances = details.where("cover_ratio_b2 IS NOT NULL")

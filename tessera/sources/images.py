@@ -30,12 +30,15 @@ def read_images(spark: SparkSession, folder: str, dataset_id: str = "") -> DataF
     return out.where(suffix_of(F.col("image_id")).isin(*SUFFIXES)).withColumn("readable", F.coalesce((F.col("height") > 0) & (F.col("channels") > 0), F.lit(False)))
 
 
-def with_ordinals(images: DataFrame) -> DataFrame:
-    """Readable images with their number, by name, among those of their dataset; only names are sorted for it."""
+def with_ordinals(images: DataFrame, few: bool = False) -> DataFrame:
+    """Readable images with their number, by name, among those of their dataset; only names are sorted for it.
+
+    `few` says that the names are known to fit a broadcast, which spares a shuffle of pixels.
+    """
     good = images.where("readable")
     w = Window.partitionBy("dataset_id").orderBy("image_id")
     numbers = good.select("dataset_id", "image_id", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
-    return good.join(numbers, ["dataset_id", "image_id"])
+    return good.join(F.broadcast(numbers) if few else numbers, ["dataset_id", "image_id"])
 
 
 def quarantine(images: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,10 @@ def stem_of(name: Column) -> Column:
 
 def suffix_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+
+
+def folder_size(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Bytes and files under a folder, as its file system counts them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    summary = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    return summary.getLength(), summary.getFileCount()
