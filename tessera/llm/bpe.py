@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_batches, read_table
 
 #: Words and pieces that a worker remembers, twice at most; what wasn't used since the last time is then forgotten.
-WORDS, PIECES = 600_000, 300_000
+WORDS, PIECES = 100_000, 250_000
 #: A space beside white space: texts without it can be cut before each space, and no piece is cut in two.
 UNEVEN = re.compile(r" \s|[^\S ] ")
 #: Pieces of more bytes get a tree of their own.
@@ -180,7 +180,7 @@ class BytePairs:
 class Recent:
     """Ids by piece, in two generations: a full younger one becomes the older, whose pieces come back when used."""
 
-    def __init__(self, most: Callable[[], int], encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, most: int, encode: Callable[[list[str]], list[bytes]]):
         self.most, self.encode = most, encode
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -194,7 +194,7 @@ class Recent:
             new = {p: old[p] for p in pieces if p not in own and p in old}
             lack = [p for p in pieces if p not in own and p not in new] if len(own) + len(new) < len(pieces) else []
             new.update(zip(lack, self.encode(lack), strict=True))
-            if len(young) + len(new) > self.most():
+            if len(young) + len(new) > self.most:
                 self.old, self.young = young, new
             else:
                 young.update(new)
@@ -210,10 +210,10 @@ class Memory:
     encode_words(), if given, takes words without the space before them.
     """
 
-    def __init__(self, find: Callable, encode: Callable[[list[str]], dict[str, bytes]], encode_words: Callable | None = None):
+    def __init__(self, find: Callable, encode: Callable[[list[str]], dict[str, bytes]], encode_words: Callable | None = None, words: int = WORDS, pieces: int = PIECES):
         self.find = find
-        self.pieces = Recent(lambda: PIECES, lambda lack: list(map(encode(lack).__getitem__, lack)))
-        self.words = Recent(lambda: WORDS, encode_words or (lambda words: self.split_and_encode([" " + w for w in words])))
+        self.pieces = Recent(pieces, lambda lack: list(map(encode(lack).__getitem__, lack)))
+        self.words = Recent(words, encode_words or (lambda words: self.split_and_encode([" " + w for w in words])))
 
     def split_and_encode(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.find, texts))

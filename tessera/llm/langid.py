@@ -26,7 +26,7 @@ TEXTS_A_LANGUAGE = 400
 SWITCH, MOST = 14.0, 6.0
 #: Lengths of n-grams, added count, and share of a language's words that a script needs to be one of its own.
 LENGTHS, ADDED, SCRIPT_SHARE = (1, 2, 3, 4), 0.5, 0.001
-CACHE = 400_000
+CACHE = 300_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, span_starts array<int>, span_langs array<string>"
 WORD = re.compile(r"[^\W\d_]+")
@@ -257,7 +257,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
             found = [x[:2] for at in range(0, len(s), ROWS_AT_ONCE) for x in labeller.label(s.iloc[at : at + ROWS_AT_ONCE].tolist())]
             yield pd.DataFrame(found, columns=["lang", "score"])
 
-    told = docs.withColumn("__told", label(F.col(text_col)))
+    # Not deterministic, for the planner: the filter and the column after it are to read one evaluation.
+    told = docs.withColumn("__told", label.asNondeterministic()(F.col(text_col)))
     told = told.where((F.col("__told.lang") != UNKNOWN) & (F.col("__told.score") >= least))
     return told.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__told.lang"))).drop("__told")
 

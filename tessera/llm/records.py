@@ -33,6 +33,8 @@ from tessera.llm.common import read_table, scratch, slices, tune
 SHARD_BYTES = 64 << 20
 #: Words to a line when they are encoded together.
 JOINED = 500
+#: Words and pieces that a worker remembers, twice at most.
+WORDS, PIECES = 600_000, 50_000
 #: Fixed values of the format: the polynomial of CRC-32C, reflected, and the mask's addend.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK = 512
@@ -125,7 +127,7 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True
         self.find = regex.compile(pattern).findall
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memory = Memory(self.find, self.encode_pieces, self.encode_words)
+        self.memory = Memory(self.find, self.encode_pieces, self.encode_words, WORDS, PIECES)
         self.encode = self.memory.encode
         self.stops = {c: self.encode_pieces([c])[c] for c in ".,"}
         #: Whether a token begins with a space, which the byte-level alphabet writes as U+0120.
