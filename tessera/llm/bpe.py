@@ -185,19 +185,17 @@ class Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def of(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of all the pieces; what isn't remembered is encoded."""
-        young = self.young
-        own = {p: young[p] for p in pieces if p in young}
-        if len(own) < len(pieces):
-            old = self.old
-            new = {p: old[p] for p in pieces if p not in own and p in old}
-            lack = [p for p in pieces if p not in own and p not in new] if len(own) + len(new) < len(pieces) else []
+    def of(self, pieces: set[str] | list[str]) -> dict[str, bytes]:
+        """The ids of all the pieces, none of them given twice; what isn't remembered is encoded."""
+        own = dict(zip(pieces, map(self.young.get, pieces), strict=True))
+        new = {p: self.old.get(p) for p, v in own.items() if v is None}
+        lack = [p for p, v in new.items() if v is None]
+        if new:
             new.update(zip(lack, self.encode(lack), strict=True))
-            if len(young) + len(new) > self.most:
-                self.old, self.young = young, new
+            if len(self.young) + len(new) > self.most:
+                self.old, self.young = self.young, new
             else:
-                young.update(new)
+                self.young.update(new)
             own.update(new)
         return own
 

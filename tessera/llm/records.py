@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ from tessera.llm.common import read_table, scratch, slices, tune
 
 #: Bytes after which a task begins another file.
 SHARD_BYTES = 64 << 20
+#: A space beside white space, as bpe.UNEVEN, spelled out for Arrow's expressions.
+WHITE = r"\t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNEVEN = f" [ {WHITE}]|[{WHITE}] "
+#: Bytes of texts that are encoded at once.
+GATHER = 8 << 20
 #: Words to a line when they are encoded together.
 JOINED = 500
 #: Words and pieces that a worker remembers, twice at most.
@@ -111,6 +117,19 @@ def file_system(folder: str):
     return FileSystem.from_uri(folder)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about so many bytes: the more words at once, the fewer of them are distinct."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @cache
 class Pieces:
     """Encodes texts with a tokenizer file of the tokenizers library, each distinct piece of its splitter once.
@@ -150,6 +169,38 @@ class Pieces:
         found = dict(zip(plain, self.encode_plain(plain), strict=True))
         return [found[ends[w]] + self.stops[w[-1]] if w in ends else found[w] for w in words]
 
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty. Words are split and numbered by Arrow, and only distinct ones looked up."""
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        out = np.empty(len(texts), object)
+        odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        for k, ids in zip(odd.tolist(), self.memory.split_and_encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            out[k] = ids
+        even = np.flatnonzero(pc.invert(uneven).to_numpy(zero_copy_only=False))
+        if not len(even):
+            return out.tolist()
+        lists = pc.split_pattern(texts.take(pa.array(even)), " ")
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten()
+        numbered = words.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # A text's first word has no space before it: each is an entry of its own, after the distinct ones.
+        index[cuts[:-1]] = len(distinct) + np.arange(len(even))
+        own = self.memory.words.of(distinct)
+        entries = [*map(own.__getitem__, distinct), *self.memory.split_and_encode(words.take(pa.array(cuts[:-1])).to_pylist())]
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
+        start = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(entries), f"<u{self.width}")
+        many = size[index]
+        ends = np.cumsum(many)
+        ids = table[np.repeat(start[index] - (ends - many), many) + np.arange(ends[-1])]
+        stops = np.r_[0, ends][cuts].tolist()
+        for k, a, b in zip(even.tolist(), stops, stops[1:], strict=False):
+            out[k] = ids[a:b].tobytes()
+        return out.tolist()
+
     def encode_plain(self, words: list[str]) -> list[bytes]:
         some = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
         found = self.tokenizer.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False)
@@ -192,10 +243,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
             out.close()
             fs.move(f"{base}/{name}.{attempt}", f"{base}/{name}")
 
-        for batch in batches:
-            for some in slices(batch):
+        for batch in gathered(batches):
+            for some in slices(batch, batch.num_rows, GATHER):
                 ids, rows = some.column(0).to_pylist(), []
-                for doc, data in zip(ids, coder.encode(some.column(1).to_pylist()), strict=True):
+                for doc, data in zip(ids, coder.encode_array(some.column(1)), strict=True):
                     if out is None:
                         name, at, position = f"records-{part:06d}-{number:04d}", 0, 0
                         out, number = fs.open_output_stream(f"{base}/{name}.{attempt}"), number + 1
