@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, read_table
 
-#: Words and pieces that a worker remembers, twice at most; what wasn't used since the last time is then forgotten.
-WORDS, PIECES = 100_000, 250_000
+#: Pieces that a worker remembers, twice at most; what wasn't used since the last time is then forgotten.
+PIECES = 300_000
 #: A space beside white space: texts without it can be cut before each space, and no piece is cut in two.
 UNEVEN = re.compile(r" \s|[^\S ] ")
 #: Pieces of more bytes get a tree of their own.
@@ -205,13 +205,14 @@ class Memory:
 
     Pieces hold at most one space, as their first character, unless white space stands beside it; other
     texts are cut into words before each space, a word's ids being those of its pieces in turn.
-    encode_words(), if given, takes words without the space before them.
+    encode_words(), if given, takes words without the space before them. With no words to be remembered
+    texts are split into pieces straight away, which pays where a piece costs more than a split.
     """
 
-    def __init__(self, find: Callable, encode: Callable[[list[str]], dict[str, bytes]], encode_words: Callable | None = None, words: int = WORDS, pieces: int = PIECES):
+    def __init__(self, find: Callable, encode: Callable[[list[str]], dict[str, bytes]], encode_words: Callable | None = None, words: int = 0, pieces: int = PIECES):
         self.find = find
         self.pieces = Recent(pieces, lambda lack: list(map(encode(lack).__getitem__, lack)))
-        self.words = Recent(words, encode_words or (lambda words: self.split_and_encode([" " + w for w in words])))
+        self.words = Recent(words, encode_words or (lambda lack: self.split_and_encode([" " + w for w in lack])))
 
     def split_and_encode(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.find, texts))
@@ -219,6 +220,8 @@ class Memory:
         return [b"".join(map(own.__getitem__, pieces)) for pieces in split]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.words.most:
+            return self.split_and_encode([t or "" for t in texts])
         whole, cut = [], []
         for t in texts:
             if t and even(t):
