@@ -4,7 +4,8 @@ Texts are taken as overlapping passages of words. Words of the benchmark that ar
 TF-IDF space; a randomised range finder, whose products over all passages are summed task by task, gives the
 passages' leading right singular directions. Benchmark items and passages are compared by cosine there. A
 candidate is confirmed if a longest common subsequence of words, in the passage and its surroundings, holds
-most of the item, and if the item's answer, its most telling words, is there too.
+most of the item, and if the item's answer, its most telling words, is there too. Long items are retrieved by
+parts of nearly equal length, and aligned as a whole with the surroundings of the parts that a text holds.
 """
 
 from __future__ import annotations
@@ -53,8 +54,16 @@ class Items:
             chosen.update(sorted(set(words), key=rank)[:KEEP])
         self.vocabulary = {w: i for i, w in enumerate(sorted(chosen))}
         self.idf = np.array([idf[w] for w in self.vocabulary], np.float64)
-        self.answers = [sorted(set(words), key=rank)[:ANSWER_WORDS] for _, words in self.items]
-        self.parts = [(i, words[at : at + PART]) for i, (_, words) in enumerate(self.items) for at in range(0, len(words), PART)]
+        cuts = [(i, len(w), -(-len(w) // PART)) for i, (_, w) in enumerate(self.items)]
+        spans = [(i, size * k // n, size * (k + 1) // n) for i, size, n in cuts for k in range(n)]
+        self.parts = [(i, self.items[i][1][a:b]) for i, a, b in spans]
+        #: A long item's answer has the most telling words of each of its parts.
+        answers: list[set[bytes]] = [set() for _ in self.items]
+        for i, words in self.parts:
+            answers[i].update(sorted(set(words), key=rank)[:ANSWER_WORDS])
+        self.answers = [sorted(a, key=rank) for a in answers]
+        #: Words of the item before and after each part.
+        self.beside = [(a, len(self.items[i][1]) - b) for i, a, b in spans]
 
     def vectors(self, parts: list[list[bytes]]) -> np.ndarray:
         out = np.zeros((len(parts), len(self.idf)))
@@ -201,6 +210,7 @@ class Finder:
         keep = n > 1
         who, first, vectors = who[keep], first[keep], vectors[keep]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        held: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         kinds = [frozenset(p) for _, p in items.parts]
         # Each word of a part that isn't there is one less in order.
         spare = [math.floor((1 - IN_ORDER) * len(p) + 1e-9) for _, p in items.parts]
@@ -220,10 +230,24 @@ class Finder:
                 share = in_order(part, some) / len(part)
                 if share < IN_ORDER:
                     continue
-                own = [w for w in items.answers[item] if w in part] or part
+                before, after = items.beside[q]
+                if before or after:
+                    held.setdefault((text, item), []).append((max(start - PART - before, 0), start + SPAN * STRIDE + PART + after, float(cosine[p, q])))
+                    continue
+                own = items.answers[item]
                 answer = sum(w in there for w in own) / len(own)
                 if answer >= ANSWER:
                     best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (share, answer, float(cosine[p, q])))
+        for (text, item), places in held.items():
+            # All surroundings of the item's parts, in the text's order and each word once.
+            some, end = [], 0
+            for a, b, _ in sorted(places):
+                some += split[text][max(a, end) : b]
+                end = max(end, b)
+            whole, own, there = items.items[item][1], items.answers[item], set(some)
+            share, answer = in_order(whole, some) / len(whole), sum(w in there for w in own) / len(own)
+            if share >= IN_ORDER and answer >= ANSWER:
+                best[text, item] = share, answer, max(c for *_, c in places)
         return [(text, items.items[item][0], cosine, share, answer) for (text, item), (share, answer, cosine) in sorted(best.items())]
 
 

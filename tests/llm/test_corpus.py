@@ -180,6 +180,28 @@ def test_leak_edges(spark):
     assert {(r["doc_id"], r["item_id"]) for r in held} == {(None, 1), (7, 1)}
 
 
+def test_long_items_are_held_as_a_whole(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = new(65), new(133), new(200)
+    other = [" ".join(new(60)) for _ in range(500)]
+    docs = [
+        (1, " ".join(new(30) + a[-1:] + a[3:4] + new(30))),  # the last word and one more
+        (2, " ".join(new(50) + b[-5:] + new(50))),
+        (3, " ".join(new(50) + b[:67] + new(50))),  # half of an item
+        (4, " ".join(new(50) + a + new(50))),
+        (5, " ".join(new(50) + b + new(500) + c + new(50))),
+        (6, " ".join(new(9) + c[:110] + new(900) + c[110:] + new(9))),  # in pieces far apart
+        (7, " ".join(new(50) + b[:100] + new(33) + new(50))),  # three quarters, of which one part is half there
+        (8, " ".join((c[:67] + new(200)) * 3)),  # one part three times
+        *((100 + k, t) for k, t in enumerate(other)),
+    ]
+    items = [(k, " ".join(x)) for k, x in enumerate((a, b, c))]
+    got = decontaminate.find_leaks(frame(spark, docs), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(4, 0), (5, 1), (5, 2), (6, 2), (7, 1)}
+    assert all(len(p) > decontaminate.PART // 2 - 1 for _, p in decontaminate.Items([(k, t) for k, t in items], 1, {w.encode(): 1 for _, t in items for w in t.split()}).parts)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
