@@ -5,11 +5,14 @@ licence talk and other text apart. It is fitted on the driver, on the notices be
 its probabilities are calibrated by a temperature. A text is cut at line ends; a paragraph that holds none of
 the licence words has no n-gram of the model, and is passed over. A family that the classifier predicts is
 confirmed if enough of the words of one of its notices stand in the paragraph, and is unknown otherwise.
+A notice that is wrapped over lines is a paragraph too: where licence talk is left unconfirmed, neighbouring
+lines without a blank one or a confirmed one between them are judged together.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -137,6 +140,16 @@ def notice_words() -> list[tuple[str, list[str]]]:
     return [(f, sorted(set(re.findall(WORD, t.lower())))) for f, t in NOTICES]
 
 
+def reach() -> int:
+    """Words that a wrapped notice may take between its first and its last line: twice those of the longest notice."""
+    return 2 * max(len(re.findall(WORD, t.lower())) for _, t in NOTICES)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def any_of(text: Column) -> Column:
     """Whether a lower-case text has any licence word, be it within a longer one."""
     short = [w for w in LICENCE_WORDS if not any(v != w and v in w for v in LICENCE_WORDS)]
@@ -149,7 +162,8 @@ def any_of(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_paragraphs, n_unknown, families and score.
 
-    n_paragraphs counts paragraphs of licence talk, n_unknown those among them of no confirmed family;
+    A paragraph is a line, or the lines of a wrapped notice; comment markers are no words, and a line of
+    them alone is blank. n_paragraphs counts paragraphs of licence talk, n_unknown those of no confirmed family;
     families are the confirmed ones, sorted and joined by commas; score is the highest probability of a
     confirmed paragraph, 0 without one. Null and empty texts and texts without licence talk: zeros and an
     empty string. Null ids and repeated rows stay; other columns are not read. No rows in: no rows out.
@@ -161,9 +175,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     licence = F.array(*map(F.lit, sorted(LICENCE_WORDS)))
     low = F.lower(F.col("text"))
 
-    def judged(paragraph: Column) -> Column:
-        words = F.regexp_extract_all(paragraph, F.lit(f"({WORD})"))
-        return F.transform(F.array(words), of_words)[0]
+    def judged(words: Column) -> Column:
+        return let(words, of_words)
 
     def of_words(words: Column) -> Column:
         one = F.array_intersect(words, licence)
@@ -177,18 +190,82 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         top = F.array_max(j["logits"])
         best = F.element_at(F.array(*map(F.lit, classes)), F.array_position(j["logits"], top).cast("int"))
         chance = 1.0 / F.aggregate(j["logits"], F.lit(0.0), lambda s, z: s + F.exp(z - top))
-        confirmed = F.lit(False)
-        for family, notice in notice_words():
-            confirmed = confirmed | ((best == family) & (F.size(F.array_intersect(j["words"], F.array(*map(F.lit, notice)))) >= COVER * len(notice)))
-        return F.struct(best.alias("best"), F.round(chance, 6).alias("chance"), confirmed.alias("confirmed"))
-
-    lines = F.filter(F.split(low, "\n"), any_of)
-    found = F.filter(F.transform(F.transform(lines, judged), verdict), lambda v: v["best"] != "none")
-    empty = F.array().cast("array<struct<best:string,chance:double,confirmed:boolean>>")
+        return let(F.struct(best.alias("best"), F.round(chance, 6).alias("chance")), lambda v: F.struct(v["best"].alias("best"), v["chance"].alias("chance"), share(j["words"], v["best"]).alias("share"), F.arrays_overlap(j["words"], licence).alias("talk")))
+
+    def share(words: Column, best: Column) -> Column:
+        """The highest share of a notice's words among those of the family's notices that are confirmed, and else 0."""
+        found = F.lit(0.0)
+        for family in sorted({f for f, _ in NOTICES}, reverse=True):
+            of = [F.size(F.array_intersect(words, F.array(*map(F.lit, notice)))) for f, notice in notice_words() if f == family]
+            sizes = [len(notice) for f, notice in notice_words() if f == family]
+            shares = [F.when(hits >= COVER * size, hits / F.lit(float(size))).otherwise(0.0) for hits, size in zip(of, sizes, strict=True)]
+            found = F.when(best == family, F.greatest(*shares, F.lit(0.0))).otherwise(found)
+        return found
+
+    def is_sure(v: Column) -> Column:
+        return (v["share"] > 0) & (v["chance"] >= SURE) & (v["best"] != "unknown")
+
+    def words_in(line: Column) -> Column:
+        return F.regexp_extract_all(line, F.lit(f"({WORD})"))
+
+    most = reach()
+
+    def joined(lines: Column, k: Column) -> Column:
+        """The surest of the paragraphs of two lines or more that begin with line k, as an array of one or none."""
+        first = lines[k]["words"]
+        first = F.slice(first, F.greatest(F.size(first) - most + 1, F.lit(1)), F.lit(most))
+        start = F.struct(first.alias("words"), F.lit(0).alias("inner"), F.lit(0).alias("last"), (lines[k]["open"] & (F.size(first) > 0)).alias("on"), F.array().cast("array<array<string>>").alias("out"))
+
+        def longer(s: Column, line: Column) -> Column:
+            on = s["on"] & line["open"] & (F.size(line["words"]) > 0) & (s["inner"] < most)
+            words = F.concat(s["words"], F.slice(line["words"], 1, most))
+            return F.when(on, F.struct(words.alias("words"), (s["inner"] + F.size(line["words"])).alias("inner"), (s["last"] + 1).alias("last"), F.lit(True).alias("on"), F.concat(s["out"], F.array(words)).alias("out"))).otherwise(
+                F.struct(s["words"].alias("words"), s["inner"].alias("inner"), s["last"].alias("last"), F.lit(False).alias("on"), s["out"].alias("out"))
+            )
+
+        windows = F.aggregate(F.slice(lines, k + 2, F.lit(most)), start, longer, lambda s: s["out"])
+        told = F.transform(windows, lambda words, n: let(F.when(F.arrays_overlap(words, licence), verdict_of(words)), lambda v: F.struct(v["share"].alias("share"), (-n).alias("short"), v["chance"].alias("chance"), k.alias("from"), (k + n + 1).alias("to"), v.alias("v"))))
+        sure = F.filter(told, lambda w: F.coalesce(is_sure(w["v"]), F.lit(False)))
+        return F.slice(F.array_sort(sure, lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)), 1, 1)
+
+    def before(a: Column, b: Column) -> Column:
+        key = lambda w: F.struct(w["share"], w["short"], w["chance"], -w["from"])
+        return key(a) > key(b)
+
+    def verdict_of(words: Column) -> Column:
+        return let(judged(words), verdict)
+
+    def wrapped(text: Column) -> Column:
+        """The verdicts of a text with unconfirmed licence talk, its lines taken together where that confirms a notice."""
+
+        def marked(line: Column) -> Column:
+            v = F.when(any_of(line), verdict_of(words_in(line)))
+            return let(v, lambda v: F.struct(words_in(line).alias("words"), v.alias("v"), (~F.coalesce(is_sure(v), F.lit(False))).alias("open")))
+
+        def of_lines(lines: Column) -> Column:
+            # Blocks around unconfirmed talk only: from elsewhere, no line can begin a wrapped notice.
+            here = lambda k: F.exists(F.slice(lines, k + 1, F.lit(most + 1)), lambda l: l["open"] & F.coalesce(l["v"]["talk"], F.lit(False)))
+            starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), here)
+            every = F.flatten(F.transform(starts, lambda k: joined(lines, k)))
+            best = F.array_sort(every, lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0))
+            none = F.slice(best, 1, 0)
+            taken = F.aggregate(best, none, lambda s, w: F.when(F.exists(s, lambda o: (o["from"] <= w["to"]) & (w["from"] <= o["to"])), s).otherwise(F.concat(s, F.array(w))))
+            return let(taken, lambda t: F.concat(F.transform(t, lambda w: w["v"]), alone(lines, t)))
+
+        def alone(lines: Column, taken: Column) -> Column:
+            own = F.transform(lines, lambda l, k: F.when(~F.exists(taken, lambda w: (w["from"] <= k) & (k <= w["to"])), l["v"]))
+            return F.filter(own, lambda v: v.isNotNull())
+
+        return let(F.transform(F.split(text, "\n"), marked), of_lines)
+
+    lines = F.transform(F.filter(F.split(low, "\n"), any_of), lambda line: verdict_of(words_in(line)))
+    empty = F.array().cast("array<struct<best:string,chance:double,share:double,talk:boolean>>")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", F.when(any_of(low), found).otherwise(empty).alias("found"))
-    sure = F.filter("found", lambda v: v["confirmed"] & (v["chance"] >= SURE) & (v["best"] != "unknown"))
-    return rows.select("doc_id", F.coalesce("found", empty).alias("found")).select("doc_id", F.size("found").cast("long").alias("n_paragraphs"), "found", sure.alias("sure")).select(
+    rows = rows.select("doc_id", low.alias("low"), F.coalesce(F.when(any_of(low), lines), empty).alias("told"))
+    told = F.when(F.exists("told", lambda v: v["talk"] & ~is_sure(v)) & F.col("low").contains("\n"), wrapped(F.col("low"))).otherwise(F.col("told"))
+    rows = rows.select("doc_id", let(told, lambda t: F.filter(t, lambda v: v["best"] != "none")).alias("found"))
+    sure = F.filter("found", is_sure)
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_paragraphs"), "found", sure.alias("sure")).select(
         "doc_id",
         "n_paragraphs",
         (F.col("n_paragraphs") - F.size("sure")).cast("long").alias("n_unknown"),

@@ -64,6 +64,33 @@ def test_licences(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy and sell copies.'
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    wrap = lambda t, width, mark="": "\n".join(mark + x for x in textwrap.wrap(t, width))
+    prose = "A bridge over the river.\nIt was opened on Monday."
+    cases = [(wrap(t, width, mark), f) for t, f in ((MIT, "mit"), (BSD, "bsd"), (GPL, "gpl-3.0")) for width in (30, 44, 72) for mark in ("", " * ", "# ")]
+    cases += [(f"{prose}\n{a}\n{prose}", f) for a, f in cases[::4]]
+    cases += [
+        (wrap(MIT, 72) + "\n\n" + wrap(GPL, 72), "gpl-3.0,mit"),
+        (wrap(BSD, 60, "// ") + "\n//\nAll rights reserved.", "bsd,proprietary"),
+        (wrap(BSD, 40).replace("\n", "\n\n"), ""),  # no paragraph: blank lines between
+        (wrap(MIT, 72).replace("\n", "\r\n"), "mit"),
+        ("word " * 500 + "\n" + wrap(BSD, 72) + "\n" + "word " * 500, "bsd"),
+    ]
+    df = licenses.scan(frame(spark, [(k, t) for k, (t, _) in enumerate(cases)]))
+    got = {r["doc_id"]: r for r in df.collect()}
+    assert [(k, got[k]["families"]) for k in range(len(cases))] == [(k, f) for k, (_, f) in enumerate(cases)]
+    assert all(got[k]["n_paragraphs"] - got[k]["n_unknown"] == len(f.split(",")) for k, (_, f) in enumerate(cases) if f)
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
