@@ -134,7 +134,9 @@ def best_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Labels of the path with the highest sum of scores less a penalty for each change; ties: the lower label.
 
     If from one language no other gains more than the penalty over any stretch of words, then no path
-    with changes is better than that language alone, and Viterbi's steps are spared.
+    with changes that uses it is better than that language alone: its other stretches are no more than its
+    changes. A path without it has a stretch more than changes, and gains at most each word's best other
+    language in all; if that is no more than one penalty as well, Viterbi's steps are spared.
     """
     n, k = scores.shape
     main = int(scores.sum(0).argmax())
@@ -142,7 +144,8 @@ def best_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
         return np.zeros(n, np.int64)
     gain = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, main : main + 1], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    without = np.delete(scores, main, axis=1).max(1).sum(dtype=np.float64) - scores[:, main].sum(dtype=np.float64)
+    if without <= penalty and (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, main)
     back = np.empty((n, k), np.int64)
     value = scores[0].tolist()

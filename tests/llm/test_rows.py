@@ -131,6 +131,11 @@ def test_best_path_equals_dynamic_programming():
         assert own == pytest.approx(value.max())
 
 
+def test_best_path_without_the_main_language():
+    s = np.array([[-2.4, 0.0, -6.0]] * 4 + [[-2.4, -6.0, 0.0]] * 4)
+    assert s.sum(0).argmax() == 0 and langid.best_path(s).tolist() == [1] * 4 + [2] * 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 384, 385, 3000, 70_000, 250_000])
 def test_payloads_come_back(n):
     raw = random.Random(n).randbytes(n)
