@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,11 +31,17 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where all of Spark is one local process, as in tests, is a folder of this machine set in its place;
+    a cluster without the setting raises, since its executors would each write to their own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -49,7 +56,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no plan reads any more: what was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star operations, each a group-by with partial minima, until nothing
     changes: every node ends up tied to its component's least node. A round's table is written to the
-    shared folder, so that no lineage grows. Null ends, loops and repeated edges are passed over.
+    shared folder, so that no lineage grows, and the one before it is deleted. Null ends, loops and repeated
+    edges are passed over.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     now = materialize(now, "edges")
@@ -27,8 +28,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = lesser.groupBy("u").agg(F.min("v").alias("m"))
         moved = lesser.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
+        # Both are free of repeats: they are the same if they have as many rows as they share.
+        same = new.count() == now.count() == new.join(now, ["u", "v"]).count()
+        discard(now)
         now = new
+        if same:
+            break
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,16 +9,16 @@ language each; the language of the most letters is the text's.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROWS_AT_ONCE, map_batches, read_table, tune
+from tessera.llm.common import ROWS_AT_ONCE, map_batches, read_table, tune, unused
 
 #: Bound of the training sample: about so many texts of each language, picked by a hash of their id.
 TEXTS_A_LANGUAGE = 400
@@ -29,7 +29,8 @@ LENGTHS, ADDED, SCRIPT_SHARE = (1, 2, 3, 4), 0.5, 0.001
 CACHE = 300_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, span_starts array<int>, span_langs array<string>"
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters by Unicode category, with the marks that follow them.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # First code point of each block of scripts, by name; "" are blocks without letters of one script.
 SCRIPT_STARTS = (
     (0x0000, "latin"),
@@ -261,9 +262,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
             yield pd.DataFrame(found, columns=["lang", "score"])
 
     # Not deterministic, for the planner: the filter and the column after it are to read one evaluation.
-    told = docs.withColumn("__told", label.asNondeterministic()(F.col(text_col)))
-    told = told.where((F.col("__told.lang") != UNKNOWN) & (F.col("__told.score") >= least))
-    return told.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__told.lang"))).drop("__told")
+    own = unused("told", docs)
+    told = docs.withColumn(own, label.asNondeterministic()(F.col(text_col)))
+    told = told.where((F.col(own)["lang"] != UNKNOWN) & (F.col(own)["score"] >= least))
+    return told.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col(own)["lang"])).drop(own)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ COORDINATES + k it is bin k, so that every bin fills. Two sketches agree in a bi
 the sets' similarity, concentrated as for independent hashes. Bands of ROWS bins become bucket keys: a pair
 of similarity 0.8 misses all of the 32 bands with probability 5e-8.
 
-Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
+Shingles are hashed to 64 bits from keyed hashes of their words. Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
 centre's family: two nodes of one bucket are in one family. In a family all pairs are decided on the full
 sets, but for those of nodes that are both linked with the centre and so already in one component. A family
 of very many shingles is dealt out by pairs of its parts.
@@ -19,28 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize, read_table
+from tessera.llm.common import discard, map_batches, materialize, read_table, unused
 from tessera.llm.components import connected
 
 COORDINATES, ROWS = 128, 4
 #: Link sets whose intersection times PER is at least AT_LEAST times their union.
 AT_LEAST, PER = 80, 100
-WORDS = 4
+WORDS = 5
 #: Shingles in a part of a family; a task holds two parts at most.
 PART = 2_000_000
-SKETCH_SCHEMA = "doc_id long, n_shingles long, sid binary, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, digest binary, n_shingles long, sid binary, bands array<long>"
 SETS_SCHEMA = "sid binary, shingles binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-MULTIPLIERS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-# The bytes between words, and the letters whose case is folded.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+MULTIPLIERS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: Key of the words' hashes: no one finds words that collide without it.
+KEY = b"tessera: words of shingles"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,44 +49,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def word_hash(word: str) -> int:
+    """A keyed cryptographic hash: polynomials and the like have words, or families of words, that collide."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, key=KEY).digest(), "little")
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The set of each text as sorted 64-bit hashes of its distinct shingles.
 
-    With fewer words than a shingle has, the whole sequence is one; without words, or null: an empty set.
+    Words are split, folded and numbered by Arrow, whose ASCII white space is the bytes 0x20 and 0x09 to
+    0x0D, and only distinct ones hashed. With fewer words than a shingle has, the whole sequence is one;
+    without words, or null: an empty set.
     """
-    raw = [(t or "").encode() for t in texts]
-    data = LOWER[np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)]
-    space = SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    # Polynomial prefix sums modulo 2**64; a word's hash is its difference, shifted back by the inverse power.
-    power = np.full(len(data), BASE)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    back = np.full(len(data), INVERSE)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    word = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    edges = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    first = np.searchsorted(starts, edges)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    numbered = lists.flatten().dictionary_encode()
+    kinds = numbered.dictionary.to_pylist()
+    index = numbered.indices.to_numpy(zero_copy_only=False)
+    some = np.array([bool(w) for w in kinds], bool)[index] if kinds else np.zeros(0, bool)
+    word = np.fromiter(map(word_hash, kinds), np.uint64, len(kinds))[index[some]]
+    ends = np.r_[0, np.cumsum(some)][np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+    place = [mix(np.array([k + 1], np.uint64) * BASE) | np.uint64(1) for k in range(words + 1)]
+
+    def joined(columns: list[np.ndarray]) -> np.ndarray:
+        total = np.full(len(columns[0]), mix(np.array([len(columns)], np.uint64))[0])
+        for k, c in enumerate(columns):
+            total += c * place[k]
+        return mix(total)
+
     n = len(word)
-    whole = np.zeros(max(0, n - words + 1), np.uint64)
-    for k in range(words):
-        whole += word[k : n - words + 1 + k] * MULTIPLIERS[k % 5] + np.uint64(k) if len(whole) else whole
-    whole = mix(whole)
+    whole = joined([word[k : n - words + 1 + k] for k in range(words)]) if n >= words else word[:0]
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
         if b - a >= words:
             out.append(np.unique(whole[a : b - words + 1]))
-        elif b > a:
-            short = np.uint64(b - a)
-            for h in word[a:b]:
-                short = mix(short[None] * MULTIPLIERS[4] + h)[0] if isinstance(short, np.ndarray) else mix(np.array([short]) * MULTIPLIERS[4] + h)[0]
-            out.append(np.array([short]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(joined([word[k : k + 1] for k in range(a, b)]) if b > a else word[:0])
     return out
 
 
@@ -133,13 +127,19 @@ def set_id(s: np.ndarray) -> bytes | None:
 
 
 def sketch_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, sid, bands) of each row of (doc_id, text); sid is a digest of the set, null if empty."""
+    """(doc_id, digest, n_shingles, sid, bands) of each row of (doc_id, digest, text); sid is a digest of the set, null if empty."""
 
     def make():
         def run(batch):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sets = shingle_sets(batch.column(2), words)
             keys = bands(sketches(sets)).tolist()
-            return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "bands": [k if len(s) else None for k, s in zip(keys, sets, strict=True)]}
+            return {
+                "doc_id": batch.column(0),
+                "digest": batch.column(1),
+                "n_shingles": [len(s) for s in sets],
+                "sid": [set_id(s) for s in sets],
+                "bands": [k if len(s) else None for k, s in zip(keys, sets, strict=True)],
+            }
 
         return run
 
@@ -151,7 +151,7 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def make():
         def run(batch):
-            sets = [s for s in shingle_sets(batch.column(1).to_pylist(), words) if len(s)]
+            sets = [s for s in shingle_sets(batch.column(1), words) if len(s)]
             return {"sid": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
         return run
@@ -203,8 +203,10 @@ def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> Da
     A family of more than PART shingles is cut into parts by hash, and each pair of parts is a task's, with
     the centre in each; so every pair of members meets, and no task holds an unbounded group.
     """
-    parts = families.groupBy("centre").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    rows = families.join(parts, "centre").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    # Written, so that a centre of very many members is dealt out with its rows when they meet their parts.
+    parts = materialize(families.groupBy("centre").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")).where("parts > 1"), "parts")
+    rows = families.join(parts, "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     every = F.flatten(F.transform(others, lambda i: F.transform(F.sequence(i, F.col("parts") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     mine = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
@@ -233,51 +235,80 @@ def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> Da
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, at_least: int = AT_LEAST) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id and kept.
+def classify(docs: DataFrame, words: int, at_least: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows of (doc_id, digest, text), and for each set (sid, least) the least row of its component.
 
-    component_id is the least id that is reachable over links, its own included; kept says that it is the
-    row's own. Null or empty texts and texts without words are linked with nothing and kept. Rows with a
-    null id count in links, but their id is never a component's unless all of its ids are null; they are
-    kept only if so, and only one of them. Repeated rows with one id are all kept or all not. Other columns
-    are not read. No rows in: no rows out.
+    A row is (whether its id is null, id, digest), so that null ids come last.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = materialize(sketch_documents(docs, words), "sketches")
-    nodes = found.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    nodes = found.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     live = nodes.select("sid", "rep", "n", F.explode("bands").alias("band"))
     shared = live.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     live = materialize(live.join(shared, "band"), "buckets")
-    hubs = live.groupBy("sid").agg(F.sum(F.col("m") - 1).alias("hub"), F.first("rep").alias("rep"))
+    hubs = live.groupBy("sid").agg(F.sum(F.col("m") - 1).alias("hub"), F.first("rep.doc_id").alias("rep"))
     # Sorted and merged at every size: the ids of a whole corpus aren't to be broadcast.
     sets = docs.join(hubs.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = sets_of(sets, words).join(hubs.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    live = live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid")
+    buckets, live = live, live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid")
     centres = live.groupBy("band").agg(F.max(F.struct("hub", "sid")).alias("c")).select("band", F.col("c.sid").alias("centre"))
     families = materialize(live.join(centres, "band").select("centre", "sid", "n").distinct(), "families")
     links = materialize(linked(families, sets, at_least), "links")
+    discard(buckets, sets, families)
     roots = connected(links)
     classes = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least, "root").select("sid", "component_id")
+    least = classes.groupBy("root").agg(F.min("rep").alias("least"))
+    return found, classes.join(least, "root").select("sid", "least")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, at_least: int = AT_LEAST) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id and kept.
+
+    component_id is the least id that is reachable over links, its own included; kept says that it is the
+    row's own. Null or empty texts and texts without words are linked with nothing and kept. Rows with a
+    null id count in links, but their id is never a component's unless all of its ids are null; they are
+    kept only if so. Repeated rows with one id are all kept or all not: deduplicated() chooses among rows.
+    Other columns are not read. No rows in: no rows out.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.col(text_col).cast("string").alias("text"))
+    found, named = classify(docs, words, at_least)
     out = found.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
-    out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, at_least: int = AT_LEAST) -> DataFrame:
+    """One row of each group of near copies, with all of its columns; rows whose text has no words all stay.
+
+    The row with the least id stays, null ids last, and of rows with that id the one with the least digest
+    of its text. Rows that agree in id and text are one; which of them stays is not said. Columns of any
+    name are left alone. No rows in: no rows out.
+    """
+    digest, ident = F.unhex(F.sha2(F.col(text_col).cast("string"), 256)), F.col(id_col).cast("long")
+    _, named = classify(docs.select(ident.alias("doc_id"), digest.alias("digest"), F.col(text_col).cast("string").alias("text")), words, at_least)
+    own_id, own_digest, kept_id, kept_digest = (unused(n, docs) for n in ("own_id", "own_digest", "kept_id", "kept_digest"))
+    kept = named.select(F.col("least.doc_id").alias(kept_id), F.col("least.digest").alias(kept_digest)).distinct()
+    worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Repeated rows are merged before they are dealt out, then meet the kept ones where they lie.
+    rows = docs.where(worded).withColumn(own_id, ident).withColumn(own_digest, digest).dropDuplicates([own_id, own_digest])
+    rows = rows.join(kept.hint("merge"), F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_digest) == F.col(kept_digest)), "left_semi")
+    return rows.drop(own_id, own_digest).union(docs.where(~worded))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    """op8 over documents: shingles of four words, one row a document; null and empty texts are kept alone."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
 
 
-def oracle() -> str:
+def oracle(words: int = 4) -> str:
     """The same classes as DuckDB SQL, by all pairs that share a shingle."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM w),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS s FROM w),
 items AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM sets),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT a, b FROM pairs WHERE {PER} * c >= {AT_LEAST} * (na + nb - c)),

@@ -147,13 +147,24 @@ class Pieces:
         self.find = regex.compile(pattern).findall
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memory = Memory(self.find, self.encode_pieces, self.encode_words, WORDS, PIECES)
-        self.encode = self.memory.encode
+        # Tokens added to the vocabulary stand for their content wherever a text has it; between them it is plain text.
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("tokenizer: added tokens that take more than their content")
+        self.added = {t.content: i.to_bytes(self.width, "little") for i, t in added.items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda t: [t]
         self.stops = {c: self.encode_pieces([c])[c] for c in ".,"}
         #: Whether a token begins with a space, which the byte-level alphabet writes as U+0120.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, null counting as empty, as the library's plain call gives them."""
+        parts = [self.cut(t or "") for t in texts]
+        plain = iter(self.memory.encode([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(plain) for k, x in enumerate(p)) for p in parts]
+
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return {p: np.array(e.ids, f"<u{self.width}").tobytes() for p, e in zip(pieces, found, strict=True)}
@@ -173,9 +184,11 @@ class Pieces:
         """The ids of each text; null counts as empty. Words are split and numbered by Arrow, and only distinct ones looked up."""
         texts = pc.fill_null(texts, "")
         uneven = pc.match_substring_regex(texts, UNEVEN)
+        for content in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, content))
         out = np.empty(len(texts), object)
         odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
-        for k, ids in zip(odd.tolist(), self.memory.split_and_encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
+        for k, ids in zip(odd.tolist(), self.encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
             out[k] = ids
         even = np.flatnonzero(pc.invert(uneven).to_numpy(zero_copy_only=False))
         if not len(even):
@@ -221,7 +234,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
     """Write docs as record files and an index under folder, a URI that every executor reaches.
 
     `pattern` is the expression by which the tokenizer splits, so that distinct pieces are encoded once.
-    Null and empty texts become a record of the end id alone (or of no ids). Null ids come first; rows
+    Null and empty texts become a record of the end id alone (or of no ids). An added token's content in a
+    text becomes its id, as in the library. Null ids come first; rows
     with equal ids stand in the order of their texts, repeated rows are kept. Columns other than the two
     named are not read. No rows: an empty index. A task writes under a name of its own attempt and then
     renames, so that a task that runs again after a lost executor replaces what the first run left.

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, materialize, read_table
-from tessera.llm.minhash import BASE, INVERSE, mix
+from tessera.llm.minhash import BASE, mix
 
 LENGTH, GRAM = 200, 64
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes parsed at once. Positions have 24 bits next to 40 bits of hash in the window minimum.
 PART = 1 << 19
 #: Different phrases from which on a trigger's strings are compared by digest over all tasks, not in one.

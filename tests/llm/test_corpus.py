@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, minhash, suffix
@@ -23,9 +24,9 @@ def words(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def classes(rows):
+def classes(rows, n=4):
     """Least id reachable, by all pairs."""
-    sets = [words(t, 4) for _, t in rows]
+    sets = [words(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -57,12 +58,12 @@ def near_texts(seed=1, families=12):
     return rows
 
 
-@pytest.mark.parametrize("part", [2_000_000, 300])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "n"), [(2_000_000, 4), (300, 4), (2_000_000, 5), (300, 7)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, part, n):
     monkeypatch.setattr(minhash, "PART", part)
     rows = near_texts() + TEXTS
-    want, sizes = classes(rows)
-    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    want, sizes = classes(rows, n)
+    got = minhash.near_duplicates(frame(spark, rows), words=n).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter((d, n, c, d == c) for (d, _), c, n in zip(rows, want, sizes, strict=True))
 
 
@@ -71,6 +72,33 @@ def test_no_near_duplicates(spark):
     assert all(r["kept"] for r in minhash.near_duplicates(frame(spark, [(1, "a b c d e"), (2, None)])).collect())
 
 
+def test_deduplicated_keeps_a_row_of_each_group(spark):
+    """One row a component, by rows: repeated rows, copies under a kept row's id and null ids too."""
+    base = near_texts(seed=3)
+    other = [f"word{k}" for k in range(40)]
+    rows = base + base[:5] + [(base[0][0], " ".join(other)), (None, " ".join(other)), (None, base[1][1]), (1, None), (1, None), (2, "\t"), (None, "")]
+    want, _ = classes(rows, 5)
+    groups = defaultdict(list)
+    for k, ((d, t), c) in enumerate(zip(rows, want, strict=True)):
+        groups[c if words(t, 5) else (k,)].append((d is None, d or 0, t or "", d))
+    least = Counter((d, t or None) for *_, t, d in map(min, groups.values()))
+    docs = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, kept_id string, OWN_ID string, digest string")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] if words(r["text"], 5) else None) for r in got.collect())
+    assert sum(got.values()) == sum(least.values()) and {d for d, _ in got} == {d for d, _ in least}
+    assert all(n == 1 for (_, t), n in got.items() if t)
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_word_hashes_hold_against_constructed_words():
+    """Thue-Morse words collide under every polynomial modulo a power of two."""
+    a = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    x, y, z = minhash.shingle_sets(pa.array([f"{a} one two three four", f"{b} one two three four", f"{b.upper()} one\x0btwo\tthree  four\n"]), 4)
+    assert len(x) == 2 and len(set(x.tolist()) & set(y.tolist())) == 1 and y.tolist() == z.tolist()
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
@@ -231,7 +259,7 @@ def test_pipeline(spark):
         if k == 0:
             assert set(got) == {d for d, _ in kept}
         if k == 1:
-            want, _ = classes(kept)
+            want, _ = classes(kept, 5)
             kept = [r for r, c in zip(kept, want, strict=True) if r[0] == c]
             assert set(got) == {d for d, _ in kept}
         if k == 2:
@@ -244,3 +272,20 @@ def test_pipeline(spark):
             texts = {d: r["text"] for d, r in got.items()}
     assert set(got) == set(texts)
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[d].encode()).hexdigest() and 4 * r["n_tokens"] == len(r["ids"]) for d, r in got.items())
+
+
+def test_scratch_tables(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            common.shared_dir(unset(master))
+    assert common.shared_dir(unset("local[2]")).startswith("file:")
+    table = common.materialize(spark.range(5), "five")
+    assert table.count() == 5
+    common.discard(table)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(table.written_to).count()

@@ -119,6 +119,20 @@ def test_language_edges_and_spans(spark):
     assert {r["lang_pred"] for r in langid.predict(frame(spark), nothing).collect()} == {"und"}
 
 
+def test_letters_are_letters_by_category(spark):
+    model = langid.Model([("the cat sat on the mat", "en"), ("кот сидел на окне", "ru")])
+    texts = ["½ ² ①", "Ⅷ", "१२", "_", "ª", "cafe\u0301", "a²b"]
+    got = [x[0] for x in langid.Labeller(model).label(texts)]
+    assert [g == "und" for g in got] == [not any(c.isalpha() for c in t) for t in texts]
+    assert langid.WORD.findall("cafe\u0301 हिन्दी a²b") == ["cafe\u0301", "हिन्दी", "a", "b"]
+
+
+def test_language_stage_leaves_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", None, "mine", "own"), (2, "12", "en", "mine", "own")], "doc_id long, text string, lang string, told string, TOLD_ string")
+    got = langid.keep_identified(docs, langid.Model([("the cat sat on the mat", "en")])).collect()
+    assert [tuple(r) for r in got] == [(1, "the cat sat on the mat", "en", "mine", "own")]
+
+
 def test_best_path_equals_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(200):

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -85,6 +86,19 @@ def test_pieces_equal_whole_texts():
     assert [np.frombuffer(x, "<u2").tolist() for x in c.encode(ODD)] == [e.ids for e in want]
 
 
+def test_texts_with_added_tokens_as_in_a_plain_call():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain, c = Tokenizer.from_file(path), records.Pieces(path, P.PATTERN)
+    end = "<|endoftext|>"
+    texts = [f"{end} hello", f"a b{end}c d", end, f"{end}{end} \n", "<|endoftext", f"x  {end}\ty" * 50, "no token, at all", "", None]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256, 23748]
+    for got in (c.encode(texts), c.encode_array(pa.array(texts))):
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
 def test_records(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/records"
     path = P.path("byte_bpe_50k.json")
