@@ -10,29 +10,39 @@ from tessera.llm.common import materialize, read_table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter, or of no language, go; a null language becomes the predicted one."""
+    """Language ID: texts that are null or without a letter go; a null language becomes the predicted one.
+
+    Long texts are read whole, repeated rows are judged alike. No rows in: no rows out.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group of near copies the document with the least id stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """MinHash near-dedup over shingles of five words: of each group of near copies one row stays, that with the least id.
+
+    Null ids come last; of rows with the least id that with the least digest of its text stays, and of rows
+    that agree in both, one. Texts without words all stay. No rows in: no rows out.
+    """
+    return minhash.deduplicated(docs, words=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
+    """Benchmark decontamination: documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike; null items are passed over. An
+    empty benchmark takes nothing, no rows in: no rows out.
+    """
     return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: secrets are masked, all documents stay."""
+    """Secret scans: secrets are masked, all documents stay, null and empty texts as they are."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: ids of each text, and the digest of what they decode to."""
+    """Byte-level BPE: ids of each text, and the digest of what they decode to; null and empty texts have no ids."""
     return bpe.encode_decode(docs).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
