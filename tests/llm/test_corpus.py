@@ -230,6 +230,103 @@ def test_long_items_are_held_as_a_whole(spark):
     assert all(len(p) > decontaminate.PART // 2 - 1 for _, p in decontaminate.Items([(k, t) for k, t in items], 1, {w.encode(): 1 for _, t in items for w in t.split()}).parts)
 
 
+def paraphrase(item, kind, rng):
+    w, n = list(item), len(item)
+    if kind == "swapped":
+        for k in range(3, n - 1, 10):
+            w[k], w[k + 1] = w[k + 1], w[k]
+    elif kind == "dropped":
+        w = [x for k, x in enumerate(w) if k % 8 != 5]
+    elif kind == "replaced":
+        w = [f"p{rng.randrange(10**6)}" if k % 6 == 4 else x for k, x in enumerate(w)]
+    elif kind == "inserted":
+        w = [y for k, x in enumerate(w) for y in ((x, f"p{rng.randrange(10**6)}") if k % 4 == 1 else (x,))]
+    elif kind == "halves":
+        w = w[n // 2 :] + w[: n // 2]
+    elif kind == "mixed":
+        w = [f"p{rng.randrange(10**6)}" if k % 12 == 4 else x for k, x in enumerate(w) if k % 12 != 9]
+        for k in range(6, len(w) - 1, 20):
+            w[k], w[k + 1] = w[k + 1], w[k]
+    return w
+
+
+KINDS = ("same", "swapped", "dropped", "replaced", "inserted", "halves", "mixed")
+
+
+def test_leaks_against_all_texts_and_items(spark):
+    """Every text against every item without index words, space or cosine; paraphrases are to be found, nothing else."""
+    rng = random.Random(21)
+    zipf = [f"c{k}" for k in range(300)]
+    make = lambda n: [zipf[min(int(rng.paretovariate(0.7)) - 1, 299)] if rng.random() < 0.6 else f"r{rng.randrange(3000)}" for _ in range(n)]
+    items = [make(rng.randint(10, 64)) for _ in range(60)]
+    docs, planted = [], {}
+    for d in range(700):
+        text = make(rng.choice((10, 90, 250)))
+        if d < 420:
+            item, kind = d % 60, KINDS[d // 60]
+            at = rng.randrange(len(text))
+            text[at:at] = paraphrase(items[item], kind, rng)
+            planted[d, item] = kind
+        docs.append((d, text))
+    got = decontaminate.find_leaks(frame(spark, [(d, " ".join(t)) for d, t in docs]), benchmark(spark, [(k, " ".join(t)) for k, t in enumerate(items)])).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in got}
+    frequency = Counter(w for _, t in docs for w in set(t))
+    want = set()
+    for k, item in enumerate(items):
+        answer = sorted(set(item), key=lambda w: (frequency[w], w.encode()))[:5]
+        for d, text in docs:
+            if sum(w in text for w in answer) < 3 or len(set(item) - set(text)) > 0.3 * len(item):
+                continue
+            for at in range(max(len(text) - 2 * len(item), 0) + 1):
+                some = text[at : at + 2 * len(item)]
+                share, halves = decontaminate.in_order(item, some), sum(decontaminate.in_order(h, some) for h in (item[: len(item) // 2], item[len(item) // 2 :]))
+                if share >= 0.7 * len(item) or halves >= 0.7 * len(item) and set(answer) <= set(some):
+                    want.add((d, k))
+                    break
+    assert len(set(planted) - want) <= 0.02 * len(planted)  # a paraphrase can take an item's answer away
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
+    recall = {kind: np.mean([p in got for p, x in planted.items() if x == kind]) for kind in KINDS}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_short_items_stand_word_for_word(spark):
+    rng = random.Random(5)
+    fill = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    docs = [(k, " ".join(fill(60))) for k in range(60)]
+    docs += [(100, " ".join([*fill(90), "Photosynthesis", *fill(90)])), (101, " ".join([*fill(20), "new,", "York", "CITY.", *fill(20)])), (102, " ".join(["new", *fill(9), "york", *fill(9), "city"])), (103, "photosynthesis")]
+    items = [(1, "Photosynthesis"), (2, "New York City"), (3, "w1 w2 w3 w4 w5 w6 w7 w8 nothing"), (4, "...")]
+    got = decontaminate.find_leaks(frame(spark, docs), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(100, 1), (101, 2), (103, 1)}
+
+
+def test_benchmarks_in_blocks(spark, monkeypatch):
+    docs, items, want = leak_rows()
+    monkeypatch.setattr(decontaminate, "BLOCK", 900)
+    got = decontaminate.find_leaks(frame(spark, docs), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    kept = {r["doc_id"] for r in decontaminate.without_leaks(frame(spark, docs), benchmark(spark, items)).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_singular_directions(spark, monkeypatch):
+    """The singular values and directions of the passages' matrix, by an exact decomposition."""
+    docs, items, _ = leak_rows()
+    monkeypatch.setattr(decontaminate, "DIRECTIONS", 24)
+    monkeypatch.setattr(decontaminate, "POWERS", 6)
+    own = decontaminate.Items(items, len(docs), Counter(w for _, t in docs + items for w in set(decontaminate.words_of(t))))
+    rows = []
+    for _, t in docs:
+        w = decontaminate.words_of(t)
+        for at in range(0, len(w), decontaminate.STRIDE):
+            rows.append(w[at : at + decontaminate.STRIDE * decontaminate.SPAN])
+    a = own.vectors([*rows, *(p for _, p in own.parts)])
+    exact = np.linalg.svd(a, full_matrices=False)
+    directions, values = decontaminate.singular_directions(frame(spark, docs).select("text"), own)
+    assert np.allclose(values[:8], exact[1][:8], rtol=0.02)
+    assert np.allclose(np.linalg.norm(a @ directions[:, :8], axis=0), exact[1][:8], rtol=0.02)
+    assert np.allclose(directions.T @ directions, np.eye(directions.shape[1]), atol=1e-8)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
