@@ -4,6 +4,9 @@ A page is cut into blocks of text. A logistic classifier, fitted on the labelled
 block the cost of calling it content and of calling it boilerplate: the capacities of its edges to the two
 terminals. Neighbours in page order and under one parent are tied by smoothness edges. The maximum flow
 separates content from boilerplate at the least total cost.
+
+What an element's name and attributes say against its text counts the less, the more of the page's text it
+holds: a wrapper around nearly all of a page, or a form around it, says nothing.
 """
 
 from __future__ import annotations
@@ -24,9 +27,15 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Smoothness of neighbours in page order and of neighbours under one parent, in nats; capacities are thousandths.
 NEXT, SIBLING, UNIT = 0.25, 0.35, 1000
 
-# Fixed values of HTML: elements without an end, elements whose content isn't markup or isn't shown, and blocks.
+#: Shares of a page's text without links from which on, and at which, a mark against an element fades out.
+FADE = (0.5, 0.9)
+
+# Fixed values of HTML: elements without an end, elements whose content isn't markup, elements whose content
+# isn't shown as text, what may stand in a head, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select button xmp noembed noframes".split())
+RAW = frozenset("script style noscript iframe title textarea xmp noembed noframes".split())
+SILENT = frozenset("template object svg math canvas audio video head select button".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -49,6 +58,11 @@ AGAINST = frozenset(
     "advertising adsense sponsor sponsored sponsors promo promotion form search login signup subscribe newsletter comment comments commentlist disqus reply replies respond discussion share sharing social "
     "related recommended breadcrumb breadcrumbs pagination pager popup modal overlay dialog toolbar widget widgets copyright legal skip hidden contentinfo complementary warning disclaimer tags".split()
 )
+#: Words that keep their full weight whatever the share, and words that make a layout's name of the words after them.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+LAYOUT = frozenset("no has with without not non is hide show enable disable".split())
+#: Words of elements that hold an article and no more; others of those in favour may hold a whole page.
+ARTICLE = frozenset("article main post entry story".split())
 FAVOUR = frozenset("article main content contents post entry story body text page blog news".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
 NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -57,28 +71,54 @@ STOPS = re.compile(r"[.!?,;:]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "mark", "depth", "order", "form", "article", "masthead")
+    __slots__ = ("tag", "parent", "own", "readers", "mark", "weight", "depth", "order", "form", "article", "masthead", "size", "favoured", "above")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, order: int):
-        self.tag, self.parent, self.order = tag, parent, order
+        self.tag, self.parent, self.order, self.size, self.favoured = tag, parent, order, 0, 0
         self.depth = parent.depth + 1 if parent else 0
-        self.form = tag in ("form", "fieldset", "label") or bool(parent and parent.form)
-        self.article = tag in ("article", "main") or bool(parent and parent.article)
-        own = marks(tag, attributes)
+        #: Elements around it that are marked as content, and with text those from it on downwards (`favoured`).
+        self.above = parent.above + (parent.own > 0) if parent else 0
+        self.own, self.readers, article = (0, False, False) if tag in ("body", "html") else marks(tag, attributes)
+        self.article = article or bool(parent and parent.article)
         # An article's own header holds its title: headings there aren't spoken against.
         self.masthead = tag == "header" and self.article or bool(parent and parent.masthead)
+        self.mark, self.weight, self.form = 0, 0.0, 0.0
+
+    def settle(self, root: Element) -> None:
+        """Weigh what is said against the element by its share of the page; its parent is settled before it.
+
+        Where text elsewhere is marked as content, the weight is full.
+        """
+        parent, (start, end) = self.parent, FADE
+        weight = 1.0
+        if root.favoured == self.favoured + self.above:
+            weight = min(max((end - self.size / max(root.size, 1)) / (end - start), 0.0), 1.0)
         # The innermost element that says something counts.
-        self.mark = own or (parent.mark if parent else 0)
+        if self.own > 0:
+            self.mark, self.weight = 1, 1.0
+        elif self.own < 0 and (self.readers or weight):
+            self.mark, self.weight = -1, 1.0 if self.readers else weight
+        elif parent:
+            self.mark, self.weight = parent.mark, parent.weight
+        self.form = max(parent.form if parent else 0.0, weight if self.tag in ("form", "fieldset", "label") else 0.0)
 
 
 @cache
-def word_marks(names: str) -> int:
-    words = {w.lower() for w in PART.findall(names)}
-    return -1 if words & AGAINST else int(bool(words & FAVOUR))
+def word_marks(names: str) -> tuple[int, bool, bool]:
+    """What class names, ids and roles say, and whether they speak of readers' comments and of an article."""
+    words: set[str] = set()
+    for name in names.split():
+        for w in PART.findall(name):
+            if w.lower() in LAYOUT:
+                break
+            words.add(w.lower())
+    against = bool(words & AGAINST)
+    return -1 if against else int(bool(words & FAVOUR)), bool(words & READERS), not against and bool(words & ARTICLE)
 
 
-def marks(tag: str, attributes: str) -> int:
-    """-1 if an element's name or attributes speak for boilerplate, 1 for content, 0 for neither."""
+def marks(tag: str, attributes: str) -> tuple[int, bool, bool]:
+    """-1 if an element's name or attributes speak for boilerplate, 1 for content, 0 for neither; whether of readers' comments; whether it is an article."""
+    article = tag in ("article", "main")
     if attributes and not attributes.isspace():
         names = []
         for key, a, b, c in NAMES.findall(attributes):
@@ -86,12 +126,12 @@ def marks(tag: str, attributes: str) -> int:
             if key in ("class", "id", "role"):
                 names.append(value)
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1
-        if names and (m := word_marks(" ".join(names))):
-            return m
-    if tag in ("article", "main"):
-        return 1
-    return -1 if tag in ("nav", "header", "footer", "aside", "form", "menu", "dialog", "search") else 0
+                return -1, False, article
+        if names and (m := word_marks(" ".join(names)))[0]:
+            return m[0], m[1], m[2] or article
+    if article:
+        return 1, False, True
+    return -1 if tag in ("nav", "header", "footer", "aside", "form", "menu", "dialog", "search") else 0, False, False
 
 
 class Block:
@@ -102,10 +142,11 @@ class Block:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks of shown text in page order; white space within each is one space."""
+    """Blocks of shown text in page order; white space within each is one space. Those within a form are left out."""
     root = Element("", None, "", 0)
-    stack, out, parts, count = [root], [], [], 1
-    linked, in_link, at, n = 0, 0, 0, len(html)
+    stack, every, out, parts = [root], [root], [], []
+    linked, in_link, silent, at, n = 0, 0, 0, 0, len(html)
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -123,22 +164,40 @@ def blocks_of(html: str) -> list[Block]:
         linked = 0
 
     def close(index: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, silent
         for e in stack[index:]:
-            if e.tag == "a":
-                in_link -= 1
+            in_link -= e.tag == "a"
+            silent -= e.tag in SILENT
         del stack[index:]
 
+    def close_last(tags: tuple[str, ...], but: tuple[str, ...] = ()) -> None:
+        """Close the innermost of these elements, unless one of the others is open within it."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in but:
+                return
+            if stack[k].tag in tags:
+                close(k)
+                return
+
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", html, re.IGNORECASE)), default=-1)
+        return last_end[tag] >= at
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            if not silent:
+                parts.append(html[at:])
             break
         if m.start() > at:
             piece = html[at : m.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+            if silent and stack[-1].tag == "head" and not piece.isspace():
+                close(len(stack) - 1)
+            if not silent:
+                parts.append(piece)
+                if in_link:
+                    linked += len(piece.strip())
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -155,17 +214,32 @@ def blocks_of(html: str) -> list[Block]:
                     break
             continue
         attributes = m[3] if m[2] else m[6]
+        if silent:
+            # As in browsers: a block ends a drawing or a choice that was left open, and what is no part of a head ends it.
+            if tag not in IN_HEAD:
+                close_last(("head",))
+            if tag in BLOCK:
+                close_last(("svg", "math"), ("foreignobject",))
+                close_last(("select",))
+            if tag == "button":
+                close_last(("button",))
         if tag in RAW:
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
-                if end is None and tag in ("head", "title"):
-                    continue
-                at = end.end() if end else n
-            if tag in BLOCK or tag in ("textarea", "select", "head", "title"):
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
+            if end is None and tag == "title":
+                continue
+            at = end.end() if end else n
+            if tag in ("textarea", "title"):
                 flush()
             continue
+        if tag in SILENT:
+            if tag in ("head", "select"):
+                flush()
+            # Without an end to come, what follows is the page's text.
+            if not ends_later(tag) and tag != "head" or attributes.endswith("/") and tag in ("svg", "math"):
+                continue
+            silent += 1
         if tag == "br" or tag == "wbr":
-            if tag == "br":
+            if tag == "br" and not silent:
                 parts.append(" ")
             continue
         if tag in BLOCK:
@@ -191,23 +265,32 @@ def blocks_of(html: str) -> list[Block]:
         if tag == "body" or tag == "html":
             if any(e.tag == tag for e in stack):
                 continue
-        stack.append(Element(tag, stack[-1], attributes, count))
-        count += 1
+        stack.append(Element(tag, stack[-1], attributes, len(every)))
+        every.append(stack[-1])
         if tag == "a":
             in_link += 1
     flush()
-    return [b for b in out if not b.element.form]
+    for b in out:
+        b.element.size += len(b.text) - b.linked
+    for e in reversed(every):
+        e.favoured += e.own > 0 and e.size > 0
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.favoured += e.favoured
+    for e in every:
+        e.settle(root)
+    return [b for b in out if b.element.form < 1]
 
 
 def features(b: Block) -> list[float]:
     """What the classifier sees of a block: its marks, length, links, punctuation and kind."""
     e, n = b.element, len(b.text)
-    against = e.mark < 0 and not (e.masthead and b.heading)
+    against = max(e.weight if e.mark < 0 and not (e.masthead and b.heading) else 0.0, e.form)
     sentence = bool(STOPS.search(b.text[-1]))
     return [
         1.0,
         1.0 if e.mark > 0 else 0.0,
-        1.0 if against else 0.0,
+        against,
         min(math.log1p(n), 6.0) / 6.0,
         b.linked / n,
         1.0 if sentence else 0.0,
@@ -351,7 +434,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row for each row of pages: page_id, url, text and n_chars, the text's code points.
 
     Pages that are null, empty or without content: empty text and 0. Null ids and addresses and repeated
-    rows stay; other columns are not read. No rows in: no rows out. Broken markup is read as browsers do.
+    rows stay; other columns are not read. No rows in: no rows out. Elements left open end as in browsers
+    where a block, an ancestor's end or their like follows; drawings, buttons and the like that never end
+    hide nothing, while scripts, styles and other raw text that never end hide the rest, as there.
     """
 
     def make():
@@ -365,4 +450,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 over pages: one row a page, whole pages; null and empty pages have no text."""
     return extract(read_table(spark, sf_dir, "pages"))
