@@ -1,40 +1,47 @@
 """Removal of byte strings that occur elsewhere, by prefix-free parsing.
 
-A rolling hash over GRAM bytes sets triggers: of the grams that lie in a string of LENGTH bytes, the one
-with the least hash, leftmost on ties, is the string's trigger. Every string has one, and it depends on
-nothing but the string. All strings of a text with one trigger start next to each other; together they
-cover one phrase, and the phrases of a text, in order, are its parse.
-
-The parse of the corpus is a table of (trigger, phrase) hashes. A trigger that occurs once rules out
-repetition for its whole phrase. Where all phrases of a repeated trigger are the same, all of their strings
-are repeated. Only phrases that share a trigger but differ, at the edges of repeated passages, go into a
-dictionary with their bytes: a suffix array of it, by prefix doubling to the depth LENGTH, puts equal
-strings next to each other.
+The corpus is dealt out by content first. A rolling hash over GRAM bytes sets triggers: of the grams that lie
+in a string of LENGTH bytes, the one with the least hash, leftmost on ties, is the string's trigger. Every
+string has one, and it depends on nothing but the string, so that all places of a string meet under it. All
+strings of a text with one trigger start next to each other; together they cover one passage. A trigger that
+occurs once rules out repetition for its whole passage, and passages that occur more than once as they are
+need no comparison; the rest are the dictionary's.
+
+In a task the passages that are left are a small corpus that says much the same again and again. There
+prefix-free parsing sorts it: windows of WINDOW bytes whose rolling hash is 0 modulo MODULUS end its phrases,
+which overlap by a window. A suffix array of the dictionary of distinct phrases and one of the parse combine
+into the order of all the corpus's strings, and common prefixes of neighbours in that order tell which strings
+of LENGTH bytes occur again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize, read_table
+from tessera.llm.common import discard, map_batches, materialize, read_table
 from tessera.llm.minhash import BASE, mix
 
 LENGTH, GRAM = 200, 64
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bytes of a trigger window between phrases, and the mean distance of such windows.
+WINDOW, MODULUS = 12, 24
 #: Bytes parsed at once. Positions have 24 bits next to 40 bits of hash in the window minimum.
 PART = 1 << 19
-#: Different phrases from which on a trigger's strings are compared by digest over all tasks, not in one.
+#: Different passages from which on a trigger's group is dealt out over all tasks, string by string, by their digests.
 HOT = 2000
-#: Bytes of a dictionary that is sorted at once; the phrases of one trigger stay together.
+#: Bytes of passages that are sorted at once; the passages of one trigger stay together.
 DICTIONARY = 1 << 20
-PARSE_SCHEMA = "trigger long, phrase long, text_key long, lo long, hi long, doc_id long"
+PARSE_SCHEMA = "trigger long, p1 long, p2 long, k1 long, k2 long, place long, doc_id long"
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: The field of the digests, and four points of it at which strings are evaluated as polynomials: 124 bits in all.
+FIELD = (1 << 31) - 1
+POINTS = (1_198_754_321, 914_063_777, 1_741_330_883, 502_290_119)
 
 
 @cache
@@ -47,12 +54,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def text_key(raw: bytes) -> int:
-    return struct.unpack("<q", hashlib.blake2b(raw, digest_size=8).digest())[0]
+@cache
+def field_powers(point: int, n: int) -> np.ndarray:
+    """Powers of a point of the field, by doubling."""
+    p, size = np.ones(n, np.uint64), 1
+    while size < n:
+        more = min(size, n - size)
+        p[size : size + more] = p[:more] * np.uint64(pow(point, size, FIELD)) % np.uint64(FIELD)
+        size += more
+    return p
+
+
+def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 62-bit digests of the bytes lo to hi (not included) of each: polynomials at four points of a prime field."""
+    out, wide = [], 1 << len(data).bit_length()
+    for point in POINTS:
+        total = np.zeros(len(data) + 1, np.uint64)
+        # Summands have 40 bits and data at most 21 bits of bytes: the sums stay below 2 ** 64.
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * field_powers(point, wide)[: len(data)], out=total[1:])
+        back = field_powers(pow(point, -1, FIELD), wide)
+        out.append((total[hi] - total[lo]) % np.uint64(FIELD) * back[lo] % np.uint64(FIELD))
+    return ((out[0] << np.uint64(31)) | out[1]).view(np.int64), ((out[2] << np.uint64(31)) | out[3]).view(np.int64)
+
+
+def rolling(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each gram of the data."""
+    power, back = powers(1 << len(data).bit_length())
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return mix((total[gram:] - total[:-gram]) * back[: len(data) - gram + 1])
 
 
 def parse(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, trigger, phrase, lo, hi) of each phrase: its strings start at the bytes lo to hi of its text."""
+    """(text number, trigger, two digests, lo, hi) of each passage: its strings start at the bytes lo to hi of its text."""
     rows: list[tuple[np.ndarray, ...]] = []
     group, size = [], 0
     jobs: list[list[tuple[int, int, bytes]]] = []
@@ -72,11 +106,7 @@ def parse(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
         data = np.frombuffer(b"".join(p for *_, p in job), np.uint8)
         sizes = np.array([len(p) for *_, p in job])
         first = np.cumsum(sizes) - sizes
-        n = len(data)
-        power, back = powers(1 << (n).bit_length())
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        grams = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
+        grams = rolling(data, gram)
         least = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
         wide = 1
         while 2 * wide <= n_grams:
@@ -92,66 +122,180 @@ def parse(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
         new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[new[1:] - 1, len(x) - 1]
         lo, hi, who = x[new], x[last], owner[new]
-        span = (hi - lo).astype(np.uint64)
-        phrase = mix((total[hi + length] - total[lo]) * back[lo] + span * np.uint64(0x2545F4914F6CDD1D))
         offset = np.array([s for _, s, _ in job])[who] - first[who]
-        rows.append((np.array([k for k, *_ in job])[who], grams[t[new]].view(np.int64), phrase.view(np.int64), lo + offset, hi + offset))
+        rows.append((np.array([k for k, *_ in job])[who], grams[t[new]].view(np.int64), *digests(data, lo, hi + length), lo + offset, hi + offset))
     if not rows:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
 
 
+def text_keys(raws: list[bytes]) -> np.ndarray:
+    """A 128-bit digest of each text, as two whole numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in raws), "<i8").reshape(-1, 2)
+
+
+#: Where a passage's strings start: the first one's byte, and how many follow it, in eight bits or more.
+SPAN_BITS = 10
+
+
 def parsed(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The parse of all texts: a row for each phrase."""
+    """The passages of all texts, a row for each, with their place in the text."""
 
     def make():
         def run(batch):
             raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            who, trigger, phrase, lo, hi = parse(raws, length, gram)
-            keys = np.array([text_key(r) if len(r) >= length else 0 for r in raws], np.int64)
-            return {"trigger": pa.array(trigger), "phrase": pa.array(phrase), "text_key": pa.array(keys[who]), "lo": pa.array(lo), "hi": pa.array(hi), "doc_id": batch.column(0).take(pa.array(who))}
+            who, trigger, p1, p2, lo, hi = parse(raws, length, gram)
+            keys = text_keys(raws)[who]
+            return {
+                "trigger": pa.array(trigger),
+                "p1": pa.array(p1),
+                "p2": pa.array(p2),
+                "k1": pa.array(keys[:, 0]),
+                "k2": pa.array(keys[:, 1]),
+                "place": pa.array(lo << SPAN_BITS | hi - lo),
+                "doc_id": batch.column(0).take(pa.array(who)),
+            }
 
         return run
 
     return map_batches(docs, PARSE_SCHEMA, make)
 
 
-def suffix_ranks(data: bytes, depth: int) -> np.ndarray:
-    """Rank of each position's string of `depth` bytes in lexicographic order, equal for equal strings.
+def classes(x: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones."""
+    return np.unique(x, return_inverse=True)[1].astype(np.int64)
 
-    The suffix array's order to that depth, by prefix doubling from eight bytes on; positions with fewer
-    bytes after them count as padded with zeros.
+
+def doubled(rank: np.ndarray, end: np.ndarray, have: int, depth: int) -> list[np.ndarray]:
+    """Ranks of suffixes by prefix doubling, from `have` symbols on to `depth`: one array for each depth.
+
+    A suffix ends before the position `end`; what ended is less than what goes on.
     """
-    raw = np.frombuffer(data + bytes(2 * depth), np.uint8)
-    n = len(data) + depth
-    rank = np.zeros(n, np.uint64)
-    for k in range(8):
-        rank = rank << np.uint64(8) | raw[k : n + k]
-    have = 8
-    while True:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        if have >= depth:
-            return rank[: len(data)]
+    out, n = [rank], len(rank)
+    at = np.arange(n)
+    while have < depth:
         step = min(have, depth - have)
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        rank = rank * (n + 1) + after
+        on = np.flatnonzero(at + step < end)
+        after[on] = rank[on + step] + 1
+        rank = classes(rank * (n + 1) + after)
+        out.append(rank)
         have += step
+    return out
 
 
-def repeated_starts(phrases: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each phrase, where strings start that also start elsewhere in one of the phrases."""
-    sizes = np.array([len(p) for p in phrases])
-    rank = suffix_ranks(b"".join(phrases), length)
-    first = np.cumsum(sizes) - sizes
+def suffix_ranks(data: bytes, depth: int, end: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each position's string of `depth` bytes in lexicographic order, equal for equal strings.
+
+    The suffix array's order to that depth, by prefix doubling from seven bytes on. Strings end at the
+    data's end, or before the position `end`; an end is less than any byte.
+    """
+    n = len(data)
+    end = np.full(n, n) if end is None else end
+    raw = np.zeros(n + 7, np.int64)
+    raw[:n] = np.frombuffer(data, np.uint8)
+    rank, at = np.zeros(n, np.int64), np.arange(n)
+    for k in range(min(7, depth)):
+        rank = rank << 9 | np.where(at + k < end, raw[k : n + k] + 1, 0)
+    return doubled(classes(rank), end, 7, depth)[-1]
+
+
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo + 1 : hi + 1] for each pair lo < hi, by a sparse table."""
+    table, wide = [values], 1
+    most = int((hi - lo).max(initial=1))
+    while 2 * wide <= most:
+        table.append(np.minimum(table[-1][:-wide], table[-1][wide:]))
+        wide *= 2
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), values.dtype)
+    for k, t in enumerate(table):
+        some = np.flatnonzero(level == k)
+        out[some] = np.minimum(t[lo[some] + 1], t[hi[some] + 1 - (1 << k)])
+    return out
+
+
+def repeated_starts(strings: list[bytes], length: int = LENGTH, window: int = WINDOW, modulus: int = MODULUS) -> list[np.ndarray]:
+    """For each string, where substrings of `length` bytes start that also start elsewhere in one of the strings.
+
+    By prefix-free parsing. A phrase reaches from one trigger window to the end of the next one, or from and
+    to a string's ends. A substring starts in the phrase whose next window begins after it. If that window
+    ends within the substring, its order is that of the phrase's suffix, then that of the parse from the
+    next phrase on; otherwise the phrase's suffix holds it.
+    """
+    sizes = np.array([len(s) for s in strings], np.int64)
+    if sizes.max(initial=0) < length:
+        return [np.zeros(0, np.int64) for _ in strings]
+    data = b"".join(strings)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    n = len(data)
+    owner = np.repeat(np.arange(len(strings)), sizes)
+    # Phrases: each string's first byte and its trigger windows begin them.
+    begins = np.zeros(n, bool)
+    begins[starts[sizes > 0]] = True
+    if n >= window:
+        hit = np.flatnonzero(rolling(np.frombuffer(data, np.uint8), window) % np.uint64(modulus) == 0)
+        begins[hit[hit + window <= ends[owner[hit]]]] = True
+    first = np.flatnonzero(begins)
+    who = owner[first]
+    last = np.r_[who[1:] != who[:-1], True][: len(first)]
+    stop = np.where(last, ends[who], np.r_[first[1:], 0] + window)
+    # The dictionary, and the ranks of its suffixes to `length` bytes.
+    number: dict[bytes, int] = {}
+    phrase = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.int64)
+    held = np.array([len(p) for p in number], np.int64)
+    held_end = np.cumsum(held)
+    held_start = held_end - held
+    suffix = suffix_ranks(b"".join(number), length, np.repeat(held_end, held))
+    # The parse: the order of its suffixes, by the ranks of phrases, and common prefixes of neighbours in bytes.
+    rank = np.empty(len(number), np.int64)
+    rank[[number[q] for q in sorted(number)]] = np.arange(len(number))
+    rank = rank[phrase]
+    after_last = np.searchsorted(who, who, "right")
+    levels = doubled(rank, after_last, 1, 1 << int(np.bincount(who).max(initial=1)).bit_length())
+    order = np.argsort(levels[-1], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        both = np.flatnonzero((a + step <= after_last[order[:-1]]) & (b + step <= after_last[order[1:]]))
+        both = both[levels[k][a[both]] == levels[k][b[both]]]
+        # Equal ranks of as many phrases; ranks of suffixes that end sooner differ from those that go on.
+        a[both] += step
+        b[both] += step
+    past = np.r_[first, 0]
+    shared = np.where(a < after_last[order[:-1]], past[a], ends[who[order[:-1]]]) - first[order[:-1]]
+    more = np.flatnonzero((a < after_last[order[:-1]]) & (b < after_last[order[1:]]) & (shared < length))
+    raw = np.frombuffer(data + bytes(length), np.uint8)
+    for at in range(0, len(more), 20_000):
+        some = more[at : at + 20_000]
+        most = np.minimum(stop[a[some]] - first[a[some]], stop[b[some]] - first[b[some]])
+        same = raw[first[a[some]][:, None] + np.arange(length)] == raw[first[b[some]][:, None] + np.arange(length)]
+        shared[some] += np.minimum(np.where(same.all(1), length, same.argmin(1)), most)
+    common = np.r_[0, shared]
+    # All substrings of the corpus: the phrase that each starts in, and the rank of the phrase's suffix from there.
     counts = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(phrases)), counts)
-    x = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    own = rank[first[owner] + x]
-    many = np.bincount(own) > 1
-    hit = many[own]
-    ends = np.cumsum(np.bincount(owner[hit], minlength=len(phrases)))
-    return np.split(x[hit], ends[:-1])
+    which = np.repeat(np.arange(len(strings)), counts)
+    x = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = starts[which] + x
+    p = np.searchsorted(first, at, "right") - 1
+    own = suffix[held_start[phrase[p]] + at - first[p]]
+    rest = length - (stop[p] - at - window)
+    goes_on = ~last[p] & (stop[p] - at <= length)
+    again = np.zeros(len(at), bool)
+    within = np.flatnonzero(~goes_on)
+    again[within] = (np.bincount(own[within], minlength=1) > 1)[own[within]]
+    across = np.flatnonzero(goes_on)
+    across = across[np.argsort(own[across] * (len(order) + 1) + place[np.minimum(p[across] + 1, len(order) - 1)])]
+    near = np.flatnonzero(own[across[1:]] == own[across[:-1]])
+    lo, hi = place[p[across[near]] + 1], place[p[across[near + 1]] + 1]
+    near = near[least_between(common, lo, hi) >= rest[across[near]]] if len(near) else near
+    again[across[near]] = True
+    again[across[near + 1]] = True
+    found = np.flatnonzero(again)
+    return np.split(x[found], np.cumsum(np.bincount(which[found], minlength=len(strings)))[:-1])
 
 
 def runs(x: np.ndarray) -> np.ndarray:
@@ -179,7 +323,7 @@ def result(raw: bytes, starts: np.ndarray, length: int) -> tuple[int, int, int,
     return len(raw), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), pack(spans + [0, 1])
 
 
-#: What is known of a phrase's strings: repeated; repeated, and its bytes are for comparison; to be compared.
+#: What is known of a passage's strings: repeated; repeated, and its bytes are for comparison; to be compared.
 SURE, GIVES, OPEN = 0, 1, 2
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"
 
@@ -192,68 +336,77 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     different places. Null ids stay; other columns are not read. No rows in: no rows out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parse_rows = parsed(docs, length, gram)
-    triggers = parse_rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("p1"), F.max("phrase").alias("p2")).where("n > 1")
+    # Texts without a whole string are done; they take no part in any join.
+    whole = F.coalesce(F.octet_length("text") >= length, F.lit(False))
+    bare = F.coalesce("text", F.lit(""))
+    brief = docs.where(~whole).select("doc_id", F.octet_length(bare).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bare, 256).alias("kept_sha256"), F.unhex(F.lit("")).alias("removed"))
+    docs = docs.where(whole)
+    passages = parsed(docs, length, gram)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("p1", "p2") for f, n in ((F.min, "least"), (F.max, "most"))]
+    triggers = passages.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
     # Written first, so that the join's two sides are dealt out anew and hot triggers can be split.
-    triggers = materialize(triggers.select("trigger", (F.col("p1") == F.col("p2")).alias("same")), "triggers")
-    shared = materialize(parse_rows.join(triggers, "trigger"), "parse")
-    # The dictionary: phrases that share a trigger with another one. One that occurs twice is repeated for
-    # certain; of its places the least one gives its bytes, which other phrases are compared with.
-    place = F.struct("doc_id", "text_key", "lo")
-    dictionary = shared.where("NOT same").groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("place"))
+    triggers = materialize(triggers.selectExpr("trigger", "least_p1 = most_p1 AND least_p2 = most_p2 AS same"), "triggers")
+    shared = materialize(passages.join(triggers, "trigger"), "parse")
+    # The dictionary: passages that share a trigger with another one. One that occurs twice is repeated for
+    # certain; of its places the least one gives its bytes, which other passages are compared with.
+    least = F.struct("doc_id", "k1", "k2", "place")
+    dictionary = shared.where("NOT same").groupBy("trigger", "p1", "p2").agg(F.count(F.lit(1)).alias("m"), F.min(least).alias("least"))
     dictionary = materialize(dictionary, "dictionary")
     crowds = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT).select("trigger", F.lit(True).alias("hot"))
-    known = dictionary.join(crowds, "trigger", "left")
-    rest = shared.where("NOT same").join(known, ["trigger", "phrase"])
-    state = F.when(F.col("m") == 1, OPEN).when((F.col("text_key") == F.col("place.text_key")) & (F.col("lo") == F.col("place.lo")), GIVES).otherwise(SURE)
-    entry = lambda state, hot, doc: F.struct("lo", "hi", state.alias("state"), "trigger", hot.alias("hot"), doc.alias("doc"))
-    entries = shared.where("same").select("text_key", entry(F.lit(SURE), F.lit(False), F.lit(None).cast("long")).alias("e"))
-    entries = entries.union(rest.select("text_key", entry(state, F.coalesce("hot", F.lit(False)), F.col("place.doc_id")).alias("e")))
-    by_text = entries.distinct().groupBy("text_key").agg(F.collect_list("e").alias("found"))
-    both = with_key(docs, length).join(by_text, "text_key", "left").select("doc_id", "text_key", "raw", "found")
+    known = materialize(dictionary.join(crowds, "trigger", "left"), "known")
+    rest = shared.where("NOT same").join(known, ["trigger", "p1", "p2"])
+    gives = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")) & (F.col("place") == F.col("least.place"))
+    state = F.when(F.col("m") == 1, OPEN).when(gives, GIVES).otherwise(SURE)
+    entry = lambda state, hot, doc: F.struct("place", state.alias("state"), "trigger", hot.alias("hot"), doc.alias("doc"))
+    entries = shared.where("same").select("k1", "k2", entry(F.lit(SURE), F.lit(False), F.lit(None).cast("long")).alias("e"))
+    entries = entries.union(rest.select("k1", "k2", entry(state, F.coalesce("hot", F.lit(False)), F.col("least.doc_id")).alias("e")))
+    by_text = materialize(entries.distinct().groupBy("k1", "k2").agg(F.collect_list("e").alias("found")), "entries")
+    both = with_keys(docs).join(by_text, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "raw", "found")
 
     def first_pass():
         def run(batch):
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "open", "raw")}
-            for doc, raw, found in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                found = found or []
-                sure = np.array([(f["lo"], f["hi"]) for f in found if f["state"] != OPEN], np.int64).reshape(-1, 2)
-                wait = any(f["state"] == OPEN for f in found)
-                give = [(f["lo"], f["hi"], f["hot"], f["trigger"]) for f in found if f["state"] == OPEN or f["state"] == GIVES and f["doc"] == doc]
+            for doc, raw, found in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+                found = [(f["place"] >> SPAN_BITS, (f["place"] >> SPAN_BITS) + (f["place"] & (1 << SPAN_BITS) - 1), f) for f in found or []]
+                sure = np.array([(lo, hi) for lo, hi, f in found if f["state"] != OPEN], np.int64).reshape(-1, 2)
+                wait = any(f["state"] == OPEN for *_, f in found)
+                give = [(lo, hi, f["hot"], f["trigger"]) for lo, hi, f in found if f["state"] == OPEN or f["state"] == GIVES and f["doc"] == doc]
                 row = (len(raw), None, None, None, pack(sure)) if wait else result(raw, sure, length)
                 more = (pack(np.array(give, np.int64)), raw) if give else (None, None)
                 for k, v in zip(out, (*row, *more), strict=True):
                     out[k].append(v)
-            return {"doc_id": batch.column(0), "text_key": batch.column(1), **out}
+            return {"doc_id": batch.column(0), "k1": batch.column(1), "k2": batch.column(2), **out}
 
         return run
 
-    first = map_batches(both, f"doc_id long, text_key long, {RESULT}, open binary, raw binary", first_pass)
-    first = materialize(first, "first-pass")
+    first = materialize(map_batches(both, f"doc_id long, k1 long, k2 long, {RESULT}, open binary, raw binary", first_pass), "first-pass")
+    discard(triggers, shared, dictionary, known, by_text)
 
-    def phrases_of():
+    def passages_of():
         def run(batch):
-            out = {k: [] for k in ("trigger", "hot", "text_key", "lo", "bytes")}
-            for key, rest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = {k: [] for k in ("trigger", "hot", "k1", "k2", "lo", "bytes")}
+            for k1, k2, rest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for lo, hi, hot, trigger in np.frombuffer(rest, "<i8").reshape(-1, 4).tolist():
-                    for k, v in zip(out, (trigger, bool(hot), key, lo, raw[lo : hi + length]), strict=True):
+                    for k, v in zip(out, (trigger, bool(hot), k1, k2, lo, raw[lo : hi + length]), strict=True):
                         out[k].append(v)
             return out
 
         return run
 
-    phrases = map_batches(first.where("open IS NOT NULL").select("text_key", "open", "raw"), "trigger long, hot boolean, text_key long, lo long, bytes binary", phrases_of)
+    opened = first.where("open IS NOT NULL").select("k1", "k2", "open", "raw")
+    opened = map_batches(opened, "trigger long, hot boolean, k1 long, k2 long, lo long, bytes binary", passages_of)
 
     def compare(batches):
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
 
         def settle(rows):
-            keys, los, spans = [], [], []
-            for (_, key, lo, _), x in zip(rows, repeated_starts([r[3] for r in rows], length), strict=True):
+            k1s, k2s, spans = [], [], []
+            for (_, k1, k2, lo, _), x in zip(rows, repeated_starts([r[4] for r in rows], length), strict=True):
                 if len(x):
-                    keys.append(key)
+                    k1s.append(k1)
+                    k2s.append(k2)
                     spans.append(pack(runs(x) + lo))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], names=["text_key", "starts"])
+            return pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), pa.array(spans, pa.binary())], names=["k1", "k2", "starts"])
 
         size = 0
         for batch in batches:
@@ -262,31 +415,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield settle(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield settle(held)
 
-    cold = phrases.where("NOT hot").select("trigger", "text_key", "lo", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "text_key long, starts binary")
+    cold = opened.where("NOT hot").select("trigger", "k1", "k2", "lo", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "k1 long, k2 long, starts binary")
 
-    # Strings of triggers that very many texts share: by 128-bit digest, counted with partial sums in each task.
+    # Strings of triggers that very many passages share: by digest, counted with partial sums in each task.
     def strings_of():
         def run(batch):
-            keys, xs, digests = [], [], []
-            for key, lo, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k in range(len(raw) - length + 1):
-                    keys.append(key)
-                    xs.append(lo + k)
-                    digests.append(hashlib.blake2b(raw[k : k + length], digest_size=16).digest())
-            pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            return {"text_key": keys, "x": xs, "h1": pa.array(pairs[:, 0]), "h2": pa.array(pairs[:, 1])}
+            k1, k2, lo, raws = batch.columns
+            size = pc.binary_length(raws).to_numpy(zero_copy_only=False).astype(np.int64)
+            count = size - length + 1
+            who = np.repeat(np.arange(len(size)), count)
+            x = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            at = (np.cumsum(size) - size)[who] + x
+            h1, h2 = digests(np.frombuffer(b"".join(raws.to_pylist()), np.uint8), at, at + length)
+            who = pa.array(who)
+            return {"k1": k1.take(who), "k2": k2.take(who), "x": pa.array(lo.to_numpy(zero_copy_only=False)[who.to_numpy()] + x), "h1": pa.array(h1), "h2": pa.array(h2)}
 
         return run
 
-    strings = map_batches(phrases.where("hot").select("text_key", "lo", "bytes"), "text_key long, x long, h1 long, h2 long", strings_of)
-    again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
-    hot = strings.join(again, ["h1", "h2"]).select("text_key", F.concat(le64("x"), le64("x")).alias("starts"))
-    starts = cold.union(hot).groupBy("text_key").agg(F.collect_list("starts").alias("found"))
-    late = first.where("n_removed IS NULL").select("doc_id", "text_key", "removed", "raw").join(starts, "text_key", "left").select("doc_id", "removed", "raw", "found")
+    strings = map_batches(opened.where("hot").select("k1", "k2", "lo", "bytes"), "k1 long, k2 long, x long, h1 long, h2 long", strings_of, most=PART)
+    again = materialize(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2"), "again")
+    hot = strings.join(again, ["h1", "h2"]).select("k1", "k2", F.concat(le64("x"), le64("x")).alias("starts"))
+    starts = materialize(cold.union(hot).groupBy("k1", "k2").agg(F.collect_list("starts").alias("found")), "starts")
+    discard(again)
+    late = first.where("n_removed IS NULL").select("doc_id", "k1", "k2", "removed", "raw").join(starts, ["k1", "k2"], "left").select("doc_id", "removed", "raw", "found")
 
     def second_pass():
         def run(batch):
@@ -300,7 +455,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return run
 
     done = first.where("n_removed IS NOT NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
-    return done.unionByName(map_batches(late, f"doc_id long, {RESULT}", second_pass))
+    return done.unionByName(map_batches(late, f"doc_id long, {RESULT}", second_pass)).unionByName(brief)
 
 
 def le64(column: str):
@@ -308,20 +463,22 @@ def le64(column: str):
     return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(F.col(column), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8)]))
 
 
-def with_key(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_key, raw): texts as bytes with their key, which is null where nothing can be repeated."""
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, raw): texts as bytes with their key."""
 
     def make():
         def run(batch):
-            raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "text_key": [text_key(r) if len(r) >= length else None for r in raws], "raw": raws}
+            raws = [t.encode() for t in batch.column(1).to_pylist()]
+            keys = text_keys(raws)
+            return {"doc_id": batch.column(0), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "raw": raws}
 
         return run
 
-    return map_batches(docs, "doc_id long, text_key long, raw binary", make)
+    return map_batches(docs, "doc_id long, k1 long, k2 long, raw binary", make)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over documents: strings of 200 bytes, one row a document; null and empty texts have no bytes."""
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -149,7 +149,7 @@ def test_repeats_equal_all_strings(spark, monkeypatch, hot, part, dictionary):
 def test_parse_in_parts_covers_every_string(monkeypatch):
     monkeypatch.setattr(suffix, "PART", 333)
     raw = random.Random(8).randbytes(2000)
-    _, _, _, lo, hi = suffix.parse([raw, b"", b"x" * 199])
+    *_, lo, hi = suffix.parse([raw, b"", b"x" * 199])
     assert sorted(x for a, b in zip(lo, hi, strict=True) for x in range(a, b + 1)) == list(range(1801))
 
 
@@ -161,6 +161,30 @@ def test_suffix_ranks_are_the_order():
             assert (r[i] < r[j]) == (raw[i : i + 20] < raw[j : j + 20])
 
 
+def test_prefix_free_parsing_equals_all_strings():
+    rng = random.Random(12)
+    for _ in range(300):
+        n, letters = rng.choice((5, 12, 20, 40)), rng.choice((b"a", b"ab", b"abcd", bytes(range(256))))
+        base = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(rng.randint(1, 6))]
+        strings = []
+        for _ in range(rng.randint(0, 14)):
+            a, b = rng.choice(base), rng.choice(base)
+            strings.append(a[rng.randint(0, len(a)) :] + b[: rng.randint(0, len(b))])
+        seen = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
+        want = [[i for i in range(len(s) - n + 1) if seen[s[i : i + n]] > 1] for s in strings]
+        for window, modulus in ((3, 4), (2, 1), (4, 7), (3, 50)):
+            assert [x.tolist() for x in suffix.repeated_starts(strings, n, window, modulus)] == want
+
+
+def test_digests_tell_strings_apart():
+    a = bytes(ord("ab"[k.bit_count() & 1]) for k in range(4096))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    raw = a + b + a + b"\0" * 300
+    at = np.array([0, 4096, 8192, 12288, 12289])
+    d = list(zip(*(x.tolist() for x in suffix.digests(np.frombuffer(raw, np.uint8), at, at + [4096, 4096, 4096, 100, 101])), strict=True))
+    assert d[0] == d[2] and len(set(d)) == 4
+
+
 def test_no_repeats(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
