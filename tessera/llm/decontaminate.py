@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROWS_AT_ONCE, discard, map_batches, materialize, read_table, slices, tune
+from tessera.llm.common import discard, map_batches, materialize, read_table, slices, tune
 
 #: A passage is SPAN blocks of STRIDE words, and begins at every block.
 STRIDE, SPAN = 32, 3
@@ -41,6 +41,8 @@ PART = 64
 SHORT = 8
 #: A part is looked for in windows of so many times its words, which begin at every half of them.
 WINDOW = 2
+#: Bytes of texts taken at once: a word of the vocabulary has a row of DIRECTIONS numbers there.
+SLICE = 1 << 20
 #: Characters of benchmark items that one search takes; a larger benchmark is searched for in blocks.
 BLOCK = 8 << 20
 SCHEMA = "doc_id long, item_id long, cosine double, in_order double, answer double"
@@ -169,7 +171,7 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes, i
         known = number.keys()
         for batch in batches:
             texts += batch.num_rows
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 for t in part.column(0).to_pylist():
                     for w in known & set(words_of(t)):
                         counts[number[w]] += 1
@@ -207,7 +209,7 @@ def vocabulary_hits(docs: DataFrame, items: Items) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 owner, block, word, _ = blocks(part.column(0).to_pylist(), sent.value)
                 if len(owner):
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (owner, block, word)], names=["owner", "block", "word"])
@@ -402,7 +404,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     read, out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), None
     for finder in finders(docs, benchmark, text_col, item_col, item_text_col):
-        found = map_batches(read, SCHEMA, lambda sent=spark.sparkContext.broadcast(finder): _rows(sent))
+        found = map_batches(read, SCHEMA, lambda sent=spark.sparkContext.broadcast(finder): _rows(sent), most=SLICE)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -430,10 +432,11 @@ def _clean(sent):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = np.ones(len(s), bool)
-            for at in range(0, len(s), ROWS_AT_ONCE):
-                for t, *_ in sent.value.find(s.iloc[at : at + ROWS_AT_ONCE].tolist()):
+            out, at = np.ones(len(s), bool), 0
+            for part in slices(pa.RecordBatch.from_arrays([pa.array(s, pa.string())], names=["text"]), most=SLICE):
+                for t, *_ in sent.value.find(part.column(0).to_pylist()):
                     out[at + t] = False
+                at += part.num_rows
             yield pd.Series(out)
 
     return clean
