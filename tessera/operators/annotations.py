@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import stats as S
+from tessera.operators.vectors import moments
 
 BY = ["dataset_id"]
 #: Vectors in a block of the neighbour search.
@@ -22,58 +23,74 @@ DIGITS = 9
 def fisher_separability(instances: DataFrame, by: list[str] = BY, emb: str = "emb", cls: str = "cls") -> DataFrame:
     """Between-class over within-class scatter; the overall mean counts all rows, the scatters classes of two or more.
 
-    One pass over exploded vectors with partial means and squared deviations. `comparable` tells whether any
+    One pass, with means and squared deviations of whole vectors summed in tasks. `comparable` tells whether any
     class counts while there is another: otherwise the value is 0 but for rounding.
     """
-    x = instances.select(*by, F.col(cls).alias("c"), F.posexplode(F.col(emb).cast("array<double>")).alias("pos", "e"))
-    g = x.groupBy(*by, "c", "pos").agg(F.avg("e").alias("m"), F.var_pop("e").alias("v"), F.count("e").alias("n"))
-    all_of = g.groupBy(*by, "pos").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
-    big = F.col("n") >= 2
-    out = g.join(all_of, [*by, "pos"]).groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(big, F.col("n") * F.col("v"))), F.lit(0.0)).alias("sw"),
-        F.coalesce(F.sum(F.when(big, F.col("n") * (F.col("m") - F.col("mu")) ** 2)), F.lit(0.0)).alias("sb"),
-        F.count_if((F.col("pos") == 0) & big).alias("n_classes_used"),
-        F.count_if(F.col("pos") == 0).alias("n_classes"),
-    )
-    return out.select(*by, (F.col("sb") / (F.col("sw") + S.EPS)).alias("A_sep"), ((F.col("n_classes_used") > 0) & (F.col("n_classes") > 1)).alias("comparable"), "n_classes")
+    x = instances.select(*by, F.col(cls).alias("c"), F.col(emb).alias("e"))
+    g = moments(x, "e", [*by, "c"])
+    total = F.aggregate("gs", F.lit(0).cast("long"), lambda s, r: s + r["n"])
+    weigh = lambda r, k: F.transform(r["mean"], lambda m: m * r["n"] / k)
+    # One row a class is gathered for each group.
+    out = g.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("c", "n", "mean", "dev"))).alias("gs")).withColumn("n", total)
+    first = weigh(F.col("gs")[0], F.col("n"))
+    out = out.withColumn("mu", F.aggregate(F.slice("gs", F.lit(2), F.greatest(F.size("gs") - 1, F.lit(0))), first, lambda s, r: F.zip_with(s, weigh(r, F.col("n")), lambda a, b: a + b)))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    big = F.filter("gs", lambda r: r["n"] >= 2)
+    between = lambda r: r["n"] * add(F.zip_with(r["mean"], "mu", lambda m, mu: (m - mu) * (m - mu)))
+    out = out.withColumns({"sw": F.aggregate(big, F.lit(0.0), lambda s, r: s + add(r["dev"])), "sb": F.aggregate(big, F.lit(0.0), lambda s, r: s + between(r))})
+    comparable = (F.size(big) > 0) & (F.size("gs") > 1)
+    return out.select(*by, (F.col("sb") / (F.col("sw") + S.EPS)).alias("A_sep"), comparable.alias("comparable"), F.size("gs").cast("long").alias("n_classes"))
 
 
 def nearest(instances: DataFrame, k: int = 10, by: list[str] = BY, id_col: str = "box_id", emb: str = "emb", cls: str = "cls", block: int = BLOCK) -> DataFrame:
     """(by, id, cls, rank, near_id, near_cls, similarity): the k nearest others of each vector by inner product.
 
-    Exact. Vectors are packed into blocks; a task multiplies one block with another and keeps each row's k
-    best, and the blocks' best are merged. Similarities are compared rounded, ties go to the lower id.
+    Exact. Vectors are packed into blocks, and each pair of blocks is dealt out as a unit: a task multiplies
+    one with the other, once for both, and keeps the k best of each row; the pairs' best are merged, by
+    partial limits before they are shuffled. Similarities are compared rounded, ties go to the lower id.
     """
     x = instances.select(*by, F.col(id_col).cast("long").alias("id"), F.col(cls).alias("c"), F.col(emb).cast("array<double>").alias("v"))
-    n = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    packed = x.join(n, by).groupBy(*by, F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.col("c").cast("string")).alias("cs"), F.collect_list("v").alias("vs"))
-    pairs = packed.join(packed.select(*by, *(F.col(c).alias(f"other_{c}") for c in ("ids", "cs", "vs"))), by).drop("block")
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in x.select(*by).schema), "id long, cls string, near_id long, near_cls string, similarity double"])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    packed = x.join(n, by).groupBy(*by, "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.col("c").cast("string")).alias("cs"), F.collect_list("v").alias("vs"))
+    pairs = packed.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select(*by, F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "ids", "cs", "vs")
+    pairs = pairs.repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j", "block")
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in x.select(*by).schema]
+
+    def best_of(similar: np.ndarray, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, similarity) of the k best others of each row."""
+        similar = np.where(ids[:, None] == near, -np.inf, similar)
+        order = np.argsort(near)
+        top = order[np.argsort(-similar[:, order], axis=1, kind="stable")[:, : min(k, len(near))]]
+        value = np.take_along_axis(similar, top, 1).ravel()
+        ok = value > -np.inf
+        return np.repeat(np.arange(len(ids)), top.shape[1])[ok], top.ravel()[ok], value[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pydict()
-                ids, near = np.array(row["ids"][0]), np.array(row["other_ids"][0])
-                cs, near_cs = np.array(row["cs"][0], object), np.array(row["other_cs"][0], object)
-                sim = np.round(np.array(row["vs"][0]) @ np.array(row["other_vs"][0]).T, DIGITS)
-                sim[ids[:, None] == near] = -np.inf
-                m = min(k, len(near))
-                order = np.argsort(near)
-                top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :m]]
-                value = np.take_along_axis(sim, top, 1)
-                ok = (value > -np.inf).ravel()
-                who = np.repeat(np.arange(len(ids)), m)[ok]
-                to = top.ravel()[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(row[b] * len(who), batch.schema.field(b).type) for b in by), pa.array(ids[who]), pa.array(cs[who], pa.string()), pa.array(near[to]), pa.array(near_cs[to], pa.string()), pa.array(value.ravel()[ok])],
-                    names=[*by, "id", "cls", "near_id", "near_cls", "similarity"],
-                )
+                row = batch.slice(at, 1)
+                key = [row.column(c)[0].as_py() for c in (*by, "i", "j")]
+                own = [np.array(row.column("ids")[0].as_py()), np.array(row.column("cs")[0].as_py(), object), np.array(row.column("vs")[0].as_py())]
+                sides = [(own, own)] if key[-2] == key[-1] else []
+                if held is not None and held[0] == key:
+                    sides = [(held[1], own), (own, held[1])]
+                held = (key, own)
+                product = np.round(sides[0][0][2] @ sides[0][1][2].T, DIGITS) if sides else None
+                for (ids, cs, _), (near, near_cs, _) in sides:
+                    who, to, value = best_of(product, ids, near)
+                    product = product.T
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([v] * len(who), row.schema.field(b).type) for v, b in zip(key, by, strict=False)), pa.array(ids[who]), pa.array(cs[who], pa.string()), pa.array(near[to]), pa.array(near_cs[to], pa.string()), pa.array(value)],
+                        names=[*by, "id", "cls", "near_id", "near_cls", "similarity"],
+                    )
 
     from pyspark.sql import Window
 
+    found = pairs.mapInArrow(run, ", ".join([*keys, "id long, cls string, near_id long, near_cls string, similarity double"]))
     w = Window.partitionBy(*by, "id").orderBy(F.col("similarity").desc(), "near_id")
-    return pairs.mapInArrow(best, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbour_impurity(instances: DataFrame, k: int = 10, by: list[str] = BY, id_col: str = "box_id", emb: str = "emb", cls: str = "cls") -> DataFrame:

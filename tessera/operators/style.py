@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import stats as S
+from tessera.operators.vectors import moments
 
 BY = ["dataset_id"]
 
@@ -13,12 +14,11 @@ BY = ["dataset_id"]
 def dispersion(vectors: DataFrame, column: str, name: str, by: list[str] = BY) -> DataFrame:
     """Mean distance of the vectors of a group from their centroid.
 
-    Two passes against cancellation: sums by position, then distances. The centroid table has one row a
-    group. No vectors: no row of the group.
+    Two passes: centroids, summed as whole vectors in tasks, then distances. The centroid table has one row
+    a group. No vectors: no row of the group. What computes the vectors runs twice unless it is cached.
     """
     x = vectors.select(*by, F.col(column).cast("array<double>").alias("v"))
-    centre = x.select(*by, F.posexplode("v").alias("pos", "e")).groupBy(*by, "pos").agg(F.avg("e").alias("m"))
-    centre = centre.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    centre = moments(x, "v", by).select(*by, F.col("mean").alias("c"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
     return x.join(centre, by).groupBy(*by).agg(F.avg(d).alias(name), F.count(F.lit(1)).alias("n_images"))
 
