@@ -137,6 +137,23 @@ def shrink_to(img: np.ndarray, long_side: int = 640) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def triangle_weights(n: int, m: int) -> np.ndarray:
+    """Weights of n samples in each of m: a triangle as wide as the step, one sample at least, so that none is skipped."""
+    step = n / m
+    wide = max(step, 1.0)
+    w = np.maximum(1 - np.abs(np.arange(n) + 0.5 - ((np.arange(m) + 0.5) * step)[:, None]) / wide, 0)
+    return w / w.sum(1, keepdims=True)
+
+
+def resize_smooth(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """8-bit image, bilinear with the filter widened where it shrinks, columns before rows and rounded after each."""
+    for axis, m in ((1, width), (0, height)):
+        w = triangle_weights(img.shape[axis], m)
+        img = np.moveaxis(np.tensordot(w, np.moveaxis(img, axis, 0).astype(np.float64), 1), 0, axis)
+        img = np.clip(np.floor(img + 0.5), 0, 255).astype(np.uint8)
+    return img
+
+
 def down_and_up(img01: np.ndarray, scale: float = 0.5) -> np.ndarray:
     h, w = img01.shape
     small = resize_linear(img01, max(1, round(h * scale)), max(1, round(w * scale)))
@@ -237,52 +254,54 @@ def edge_density(gray: np.ndarray, low: float = 100.0, high: float = 200.0) -> f
     return float(np.count_nonzero(edge_map(gray, low, high)) / (gray.size + EPS))
 
 
-def correlation_map(area: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised cross-correlation of a template at each place; no variance: 1 for the template, 0 for a window."""
-    area, template = area.astype(np.float64), template.astype(np.float64)
-    th, tw = template.shape
-    h, w = area.shape[0] - th + 1, area.shape[1] - tw + 1
-    zero = template - template.mean()
-    norm = float((zero**2).sum())
-    if norm < 1e-9:
-        return np.ones((h, w))
-    shape = (area.shape[0] + th - 1, area.shape[1] + tw - 1)
-    both = np.fft.irfft2(np.fft.rfft2(area, shape) * np.fft.rfft2(zero[::-1, ::-1], shape), shape)[th - 1 : th - 1 + h, tw - 1 : tw - 1 + w]
-
-    def window_sums(x: np.ndarray) -> np.ndarray:
-        s = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
-        s[1:, 1:] = x.cumsum(0).cumsum(1)
-        return s[th:, tw:] - s[:-th, tw:] - s[th:, :-tw] + s[:-th, :-tw]
-
-    spread = window_sums(area**2) - window_sums(area) ** 2 / (th * tw)
-    ok = spread > 1e-6
-    return np.where(ok, np.clip(both / np.sqrt(np.where(ok, spread * norm, 1.0)), -1, 1), 0.0)
-
-
 def sample_centres(height: int, width: int, n: int, patch: int, seed: int) -> np.ndarray:
-    """(x, y) of n seeded patch centres; none if a patch doesn't fit with room to spare."""
+    """(x, y) of n seeded centres of patches that lie within the image; none if a side has no two places for one."""
     half = patch // 2
-    if height < patch + 2 or width < patch + 2 or width - half - 1 <= half or height - half - 1 <= half:
-        return np.zeros((0, 2), np.int32)
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.integers(half, side - half, size=n, dtype=np.int32) for side in (width, height)], 1)
+    if min(height, width) < max(patch + 2, 2 * half + 2):
+        return np.zeros((0, 2), np.int64)
+    draw = np.random.default_rng(seed).integers
+    x = draw(half, width - half, size=n, dtype=np.int32)
+    return np.stack([x, draw(half, height - half, size=n, dtype=np.int32)], 1).astype(np.int64)
 
 
-def best_match(gray: np.ndarray, x: int, y: int, patch: int = 32, radius: int = 80, margin: int = 4) -> float:
-    """Best correlation, mapped to [0, 1], of the patch around (x, y) with others nearby but itself."""
+def best_matches(gray: np.ndarray, centres: np.ndarray, patch: int = 32, radius: int = 80, margin: int = 4) -> np.ndarray:
+    """Best correlation, mapped to [0, 1], of the patch around each centre (x, y) with others up to `radius` away.
+
+    Normalised cross-correlation, all centres at once: products by Fourier transforms of each one's area, sums of
+    windows by integral images. A window counts if it lies in the image and is over `margin` away from the patch
+    in x or y. A patch of no variance matches all windows, a window of none matches no other patch; a patch that
+    leaves the image or has no room beside it has 0.
+    """
     h, w = gray.shape
-    half = patch // 2
-    left, top = x - half, y - half
-    if left < 0 or top < 0 or left + patch > w or top + patch > h:
-        return 0.0
-    x0, y0 = max(0, x - radius - half), max(0, y - radius - half)
-    area = gray[y0 : min(h, y + radius + half), x0 : min(w, x + radius + half)]
-    if min(area.shape) < patch + 2:
-        return 0.0
-    found = correlation_map(area, gray[top : top + patch, left : left + patch])
-    cx, cy = min(left - x0, found.shape[1] - 1), min(top - y0, found.shape[0] - 1)
-    found[max(0, cy - margin) : cy + margin + 1, max(0, cx - margin) : cx + margin + 1] = -1.0
-    return float(np.clip((found.max() + 1) / 2, 0, 1))
+    half, side = patch // 2, 2 * radius + 2 * (patch // 2)
+    left, top = centres[:, 0] - half, centres[:, 1] - half
+    edge = radius + patch
+    wide = np.pad(gray.astype(np.float64), edge)
+    cut = lambda x, y, size: wide[(y[:, None] + edge + np.arange(size))[:, :, None], (x[:, None] + edge + np.arange(size))[:, None, :]]
+    zero = cut(left, top, patch)
+    zero -= zero.mean((1, 2), keepdims=True)
+    norm = (zero**2).sum((1, 2))
+    shifts = np.arange(-radius, side - patch - radius + 1)
+    areas = cut(left - radius, top - radius, side)
+    products = np.fft.irfft2(np.fft.rfft2(areas) * np.conj(np.fft.rfft2(zero, (side, side))), (side, side))[:, : len(shifts), : len(shifts)]
+
+    def window_sums(x: np.ndarray) -> np.ndarray:
+        total = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
+        total[1:, 1:] = x.cumsum(0).cumsum(1)
+        every = total[patch:, patch:] - total[:-patch, patch:] - total[patch:, :-patch] + total[:-patch, :-patch]
+        return every[(top[:, None] + edge + shifts)[:, :, None], (left[:, None] + edge + shifts)[:, None, :]]
+
+    spread = window_sums(wide**2) - window_sums(wide) ** 2 / patch**2
+    ok = spread > 1e-6
+    found = np.where(ok, np.clip(products / np.sqrt(np.where(ok, spread * np.maximum(norm, 1e-9)[:, None, None], 1.0)), -1, 1), 0.0)
+    found[norm < 1e-9] = 1.0
+    inside = [(a[:, None] + shifts >= 0) & (a[:, None] + shifts + patch <= n) for a, n in ((top, h), (left, w))]
+    near = np.abs(shifts) <= margin
+    found[~(inside[0][:, :, None] & inside[1][:, None, :])] = -1.0
+    found[:, near[:, None] & near] = -1.0
+    room = [np.minimum(n, a + half + radius + half) - np.maximum(0, a - radius) >= patch + 2 for a, n in ((top, h), (left, w))]
+    fits = (left >= 0) & (top >= 0) & (left + patch <= w) & (top + patch <= h) & room[0] & room[1]
+    return np.where(fits, np.clip((found.max((1, 2)) + 1) / 2, 0, 1), 0.0)
 
 
 def self_dissimilarity(gray: np.ndarray, seed: int, side: int = 640, n: int = 64, patch: int = 32, radius: int = 80, margin: int = 4) -> float:
@@ -292,7 +311,8 @@ def self_dissimilarity(gray: np.ndarray, seed: int, side: int = 640, n: int = 64
     centres = sample_centres(*gray.shape, n, patch, seed)
     if not len(centres):
         return math.nan
-    return 1.0 - float(np.mean([best_match(gray, int(x), int(y), patch, radius, margin) for x, y in centres]))
+    best = [best_matches(gray, centres[at : at + 64], patch, radius, margin) for at in range(0, len(centres), 64)]
+    return 1.0 - float(np.concatenate(best).mean())
 
 
 def high_frequency_share(gray01: np.ndarray, ratio: float = 0.55) -> float:
@@ -377,3 +397,16 @@ def ring_low_share(gray01: np.ndarray, widths: tuple[int, ...] = (2, 4, 8, 12),
     if not shares:
         return float((size <= np.quantile(size, q)).mean())
     return float(np.mean(shares) if middle == "mean" else np.median(shares))
+
+
+# The mean and deviation of red, green and blue that networks trained on ImageNet expect.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def network_input(crops: list[np.ndarray], side: int = 224) -> np.ndarray:
+    """BGR crops as one float array (crop, channel, row, column) of normalised red, green and blue at side x side."""
+    out = np.empty((len(crops), 3, side, side), np.float32)
+    for k, crop in enumerate(crops):
+        rgb = resize_smooth(crop[..., ::-1], side, side) / 255.0
+        out[k] = ((rgb - MEAN) / DEVIATION).transpose(2, 0, 1)
+    return out

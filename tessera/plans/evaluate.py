@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
@@ -16,8 +17,8 @@ from tessera.operators import annotations as A
 from tessera.operators import light as L
 from tessera.operators import spatial as P
 from tessera.operators import style as Y
-from tessera.operators.features import image_features
-from tessera.sources.images import quarantine, read_images, with_ordinals
+from tessera.operators.features import PLACE, image_features
+from tessera.sources.images import list_images, ordinals, read_images
 from tessera.sources.labels import read_labels
 from tessera.sources.paths import folder_size
 
@@ -33,49 +34,73 @@ LEAST_INSTANCES = 10
 class Dataset:
     """The tables that all metrics of one or many splits are computed from."""
 
-    images: DataFrame  # dataset_id, image_id, stem, height, width, ordinal
-    boxes: DataFrame  # dataset_id, image_id, box_id, cls, cx, cy, bw, bh, w_img, h_img, x1..y2
-    features: DataFrame  # one row an image
+    images: DataFrame  # dataset_id, image_id, stem: all listed images
+    decoded: DataFrame  # one row an image: the kernel's output, from which the next three come
+    boxes: DataFrame  # dataset_id, image_id, ordinal, box_id, cls, cx, cy, bw, bh, w_img, h_img, x1..y2
+    features: DataFrame  # readable images
     instances: DataFrame  # one row a box with a crop: cls, cover_ratio_b2, emb
     unreadable: DataFrame
     every_box: DataFrame  # boxes of all listed images, readable or not
 
     def cache(self) -> Dataset:
-        self.features.persist(StorageLevel.MEMORY_AND_DISK)
+        """Keep the kernel's output: every image is then decoded once, whatever is computed."""
+        self.decoded.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def release(self) -> None:
+        self.decoded.unpersist()
+
 
 def load(spark: SparkSession, images_dir: str, labels_dir: str, dataset_id: str = "dataset", mode: str = "permissive", embed: Callable | None = None, max_patches: int | None = None, pad_ratio: float = 0.10, **options) -> Dataset:
-    """Scan, decode and join one split. An unreadable image raises in mode "strict" and is set apart in "permissive".
+    """One split of images and labels: load_splits() of it alone."""
+    return load_splits(spark, {dataset_id: (images_dir, labels_dir)}, mode, embed, max_patches, pad_ratio, **options)
+
+
+def load_splits(spark: SparkSession, splits: dict[str, tuple[str, str]], mode: str = "permissive", embed: Callable | None = None, max_patches: int | None = None, pad_ratio: float = 0.10, **options) -> Dataset:
+    """Splits by name, each a folder of images and one of labels, as one set of tables.
 
-    Labels join images by stem: two images of one stem share a label file, label files without an image are
-    not read further. Boxes and ordinals are broadcast if the folders' sizes bound them by BROADCAST, so that
-    pixels aren't shuffled; beyond that they are, once each. `embed` turns crops into vectors; without it instances have none.
+    An unreadable image raises in mode "strict" and is set apart in "permissive". Labels join images by stem:
+    two images of one stem share a label file, label files without an image are not read further. Names and
+    ordinals come from the listing; pixels are read by one scan and meet the labels of their image there, the
+    boxes being cut with the height and width of the row. Labels and ordinals are broadcast if the folders'
+    sizes bound them by BROADCAST, so that pixels aren't shuffled; beyond that they are, once each. `embed`
+    turns crops into vectors; without it instances have none.
     """
-    listed = read_images(spark, images_dir, dataset_id)
-    bad = quarantine(listed)
-    if mode == "strict" and (some := bad.limit(1).collect()):
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    listed = union(list_images(spark, i, name) for name, (i, _) in splits.items())
+    if mode == "strict" and (some := listed.where("NOT known").limit(1).collect()):
         raise ValueError(f"unreadable image: {some[0]['image_id']}")
-    few_names = NAME * folder_size(spark, images_dir)[1] <= BROADCAST
-    few_boxes = few_names and folder_size(spark, labels_dir)[0] <= BROADCAST
-    images = with_ordinals(listed, few_names)
-    labels = read_labels(spark, labels_dir, dataset_id, mode)
-    shape = images.select("dataset_id", "image_id", "stem", "ordinal", F.col("width").cast("double").alias("w_img"), F.col("height").cast("double").alias("h_img"))
-    boxes = P.with_corners(shape.join(labels, ["dataset_id", "stem"]).withColumn("box_id", F.col("line_no").cast("long")))
-    tight, crop = (f(*(F.col(c) for c in (*G.CORNERS, "w_img", "h_img")), *more) for f, more in ((G.outward, ()), (G.padded, (pad_ratio,))))
-    drawn = boxes.select("dataset_id", "image_id", F.struct("box_id", "cls", F.array(*crop.values()).alias("crop"), F.array(*tight.values()).alias("tight")).alias("b"))
-    drawn = drawn.groupBy("dataset_id", "image_id").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
-    pixels = images.select("dataset_id", "image_id", "ordinal", "height", "width", "channels", "data").join(F.broadcast(drawn) if few_boxes else drawn, ["dataset_id", "image_id"], "left")
-    features = image_features(pixels, embed, **options)
-    details = features.select("dataset_id", "image_id", "ordinal", F.explode("box_details").alias("d")).select("dataset_id", "image_id", "ordinal", "d.*")
-    instances = details.where("cover_ratio_b2 IS NOT NULL")
+    few_names = NAME * sum(folder_size(spark, i)[1] for i, _ in splits.values()) <= BROADCAST
+    few_labels = few_names and sum(folder_size(spark, l)[0] for _, l in splits.values()) <= BROADCAST
+    labels = union(read_labels(spark, l, name, mode) for name, (_, l) in splits.items())
+    place = F.struct(F.col("line_no").cast("long").alias("box_id"), "cls", *PLACE)
+    marks = labels.groupBy("dataset_id", "stem").agg(F.array_sort(F.collect_list(place)).alias("marks"))
+    numbers = ordinals(listed)
+    rows = union(read_images(spark, i, name) for name, (i, _) in splits.items())
+    rows = rows.join(F.broadcast(numbers) if few_names else numbers, ["dataset_id", "image_id"], "left")
+    rows = rows.join(F.broadcast(marks) if few_labels else marks, ["dataset_id", "stem"], "left")
+    size = [F.col("width").cast("double"), F.col("height").cast("double")]
+
+    def cut(b: Column) -> Column:
+        at = G.corners(*(b[c] for c in PLACE), *size)
+        crop, tight = G.padded(*at.values(), *size, pad_ratio), G.outward(*at.values(), *size)
+        return F.struct(b["box_id"].alias("box_id"), b["cls"].alias("cls"), *(b[c].alias(c) for c in PLACE), F.array(*crop.values()).alias("crop"), F.array(*tight.values()).alias("tight"))
+
+    pixels = rows.select("dataset_id", "image_id", "ordinal", "height", "width", "channels", "data", F.transform("marks", cut).alias("boxes"))
+    decoded = image_features(pixels, embed, mode == "strict", **options)
+    features = decoded.where("readable").drop("readable")
+    details = features.select("dataset_id", "image_id", "ordinal", "height", "width", F.explode("box_details").alias("d"))
+    shape = [F.col("width").cast("double").alias("w_img"), F.col("height").cast("double").alias("h_img")]
+    boxes = P.with_corners(details.select("dataset_id", "image_id", "ordinal", "d.box_id", "d.cls", *(f"d.{c}" for c in PLACE), *shape))
+    instances = details.select("dataset_id", "image_id", "ordinal", "d.*").drop(*PLACE).where("cover_ratio_b2 IS NOT NULL")
     if max_patches is not None:
         from pyspark.sql import Window
 
         w = Window.partitionBy("dataset_id").orderBy("ordinal", "box_id")
         instances = instances.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_patches).drop("_n")
-    every = listed.select("dataset_id", "image_id", "stem").join(labels.select("dataset_id", "stem", "cls", "cx", "cy"), ["dataset_id", "stem"])
-    return Dataset(listed.select("dataset_id", "image_id", "stem"), boxes, features, instances, bad, every)
+    images = listed.select("dataset_id", "image_id", "stem")
+    every = images.join(labels.select("dataset_id", "stem", "cls", "cx", "cy"), ["dataset_id", "stem"])
+    return Dataset(images, decoded, boxes, features, instances, decoded.where("NOT readable").select("dataset_id", "image_id"), every)
 
 
 def joined(parts: list[DataFrame], by: list[str] = BY) -> DataFrame:
@@ -154,21 +179,42 @@ def dataset_score(spatial: DataFrame, light: DataFrame, style: DataFrame, annota
     return joined(parts, by).withColumn("dataset_score", S.geo_mean(*(F.col(f"{k}_score") for k in FAMILIES)))
 
 
-def evaluate_dataset(spark: SparkSession, images_dir: str, labels_dir: str, embeddings: DataFrame | None = None, embed: Callable | None = None, mode: str = "permissive", reference_compat: bool = False) -> dict[str, float]:
-    """The five scores of one split. A component that isn't positive raises; NaN raises too, unless reference_compat."""
+def check_folders(spark: SparkSession, *folders: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for d in (images_dir, labels_dir):
+    for d in folders:
         path = hadoop(d)
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             raise FileNotFoundError(d)
-    data = load(spark, images_dir, labels_dir, mode=mode, embed=embed).cache()
-    row = dataset_score(spatial_metrics(data), light_metrics(data), style_metrics(data), annotation_metrics(data, embeddings)).collect()[0].asDict()
-    data.features.unpersist()
-    for k in FAMILIES:
-        x = row[f"{k}_score"]
-        if x is None or x <= 0 or (math.isnan(x) and not reference_compat):
-            raise ValueError(f"{k} score is {x}")
-    return {k: v for k, v in row.items() if k.endswith("_score")}
+
+
+def evaluate_splits(spark: SparkSession, splits: dict[str, tuple[str, str]], embeddings: DataFrame | None = None, embed: Callable | None = None, mode: str = "permissive", reference_compat: bool = False, reports: bool = False, **options) -> tuple[dict[str, dict[str, float]], list]:
+    """The five scores of each split, and with `reports` every metric as rows (dataset_id, family, metric, value).
+
+    All splits are one job, and each image is decoded once. A component that isn't positive raises; NaN raises
+    too, unless reference_compat.
+    """
+    check_folders(spark, *(d for pair in splits.values() for d in pair))
+    data = load_splits(spark, splits, mode, embed, **options).cache()
+    try:
+        families = spatial_metrics(data), light_metrics(data), style_metrics(data), annotation_metrics(data, embeddings)
+        rows = {r["dataset_id"]: r.asDict() for r in dataset_score(*families).collect()}  # a row for each split
+        report = reduce(DataFrame.union, (long_form(m, name) for m, name in zip(families, FAMILIES, strict=True))).collect() if reports else []
+    finally:
+        data.release()
+    out = {}
+    for name in splits:
+        row = rows.get(name, {})
+        for k in FAMILIES:
+            x = row.get(f"{k}_score")
+            if x is None or x <= 0 or (math.isnan(x) and not reference_compat):
+                raise ValueError(f"{name}: {k} score is {x}")
+        out[name] = {k: v for k, v in row.items() if k.endswith("_score")}
+    return out, report
+
+
+def evaluate_dataset(spark: SparkSession, images_dir: str, labels_dir: str, embeddings: DataFrame | None = None, embed: Callable | None = None, mode: str = "permissive", reference_compat: bool = False) -> dict[str, float]:
+    """The five scores of one split: evaluate_splits() of it alone, under the name `dataset`."""
+    return evaluate_splits(spark, {"dataset": (images_dir, labels_dir)}, embeddings, embed, mode, reference_compat)[0]["dataset"]
 
 
 def long_form(metrics: DataFrame, family: str, by: list[str] = BY) -> DataFrame:

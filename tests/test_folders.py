@@ -8,7 +8,7 @@ import pytest
 from tessera.functions import kernels as K
 from tessera.operators.features import SCALARS
 from tessera.plans.evaluate import annotation_metrics, dataset_score, evaluate_dataset, light_metrics, load, long_form, spatial_metrics, style_metrics
-from tessera.sources.images import quarantine, read_images, with_ordinals
+from tessera.sources.images import list_images, ordinals, quarantine, read_images
 from tessera.sources.labels import parse_lines, read_labels
 from tests.conftest import png
 
@@ -57,7 +57,9 @@ def test_strict_labels_raise(spark):
 def test_names_and_pixels(spark, folders):
     listed = read_images(spark, str(folders / "images"), "d")
     assert {r["image_id"] for r in quarantine(listed).collect()} == {"bad.png"}
-    rows = with_ordinals(listed).orderBy("ordinal").collect()
+    names = list_images(spark, str(folders / "images"), "d")
+    assert names.count() == 6 and {r["image_id"] for r in names.where("NOT known").collect()} == {"bad.png"}
+    rows = listed.join(ordinals(names), ["dataset_id", "image_id"]).orderBy("ordinal").collect()
     assert [r["stem"] for r in rows] == ["a", "b c#é", "none", "p.q", "x+y"]
     bgr = np.frombuffer(rows[0]["data"], np.uint8).reshape(96, 96, 3)
     assert (bgr[..., ::-1] == texture(np.random.default_rng(1))).all()
@@ -108,6 +110,56 @@ def test_whole_evaluation(spark, folders):
     assert style.collect()[0]["C_color"] == pytest.approx(np.linalg.norm(color - color.mean(0), axis=1).mean())
 
 
+def test_images_are_decoded_once(spark, folders):
+    """Whatever is computed of a kept data set: one scan of images, one run of the kernel."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counting(crops):
+        runs.add(1)
+        return embed(crops)
+
+    data = load(spark, str(folders / "images"), str(folders / "labels"), embed=counting).cache()
+    for table in (spatial_metrics(data), light_metrics(data), style_metrics(data), annotation_metrics(data), data.boxes, data.unreadable):
+        table.collect()
+    assert runs.value == 4  # images with boxes
+    assert data.decoded._jdf.queryExecution().optimizedPlan().toString().count("Relation [image") <= 1
+    plan = load(spark, str(folders / "images"), str(folders / "labels")).decoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan image") == 1
+    names = data.images._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan image" not in names and "content" not in names
+    data.release()
+
+
+def test_splits_in_one_job(spark, folders, capsys, tmp_path):
+    from tessera.operators.extract import extractor
+    from tessera.plans import cli
+    from tessera.plans.evaluate import evaluate_splits
+
+    args = str(folders / "images"), str(folders / "labels")
+    one = evaluate_splits(spark, {"a": args}, embed=extractor(cli.STAND_IN, 3))[0]["a"]
+    both, report = evaluate_splits(spark, {"a": args, "b": args}, embed=extractor(cli.STAND_IN), reports=True)
+    assert all(both[k][n] == pytest.approx(one[n]) for k in "ab" for n in one)
+    assert {(r["dataset_id"], r["family"]) for r in report} == {(d, f) for d in "ab" for f in ("spatial", "optical", "style", "annotation")}
+    cli.main(["--images", args[0], "--labels", args[1], "--reports", "--set", "ssi_radius=30"])
+    lines = capsys.readouterr()
+    assert any(x.startswith("dataset_score: ") for x in lines.out.splitlines()) and "dataset style C_tex: " in lines.out and "no network" in lines.err
+    with pytest.raises(TypeError, match="unknown options"):
+        load(spark, *args, no_such=1)
+
+
+def test_network_input():
+    rng = np.random.default_rng(4)
+    flat = np.full((50, 30, 3), (10, 20, 30), np.uint8)
+    x = K.network_input([flat, rng.integers(0, 256, (448, 448, 3)).astype(np.uint8)])
+    assert x.shape == (2, 3, 224, 224) and x.dtype == np.float32
+    assert np.allclose(x[0].mean((1, 2)), [(v / 255 - m) / d for v, m, d in zip((30, 20, 10), K.MEAN, K.DEVIATION, strict=True)], atol=1e-5)
+    # Twice as large: weights 1, 3, 3, 1 of four samples a side.
+    img = rng.integers(0, 256, (8, 8, 1)).astype(np.uint8)
+    got = K.resize_smooth(img, 4, 4)[..., 0].astype(int)
+    w = np.array([1, 3, 3, 1]) / 8
+    assert abs(got[1, 1] - w @ img[1:5, 1:5, 0] @ w) <= 1
+
+
 def test_errors(spark, folders):
     args = (str(folders / "images"), str(folders / "labels"))
     with pytest.raises(FileNotFoundError):

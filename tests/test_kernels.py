@@ -89,18 +89,31 @@ def test_patterns_equal_loops():
     assert (K.binary_patterns(g) == want).all()
 
 
-def test_correlation_equals_loops():
-    area, templ = RNG.random((14, 12)), RNG.random((5, 4))
-    want = np.zeros((10, 9))
-    t = templ - templ.mean()
-    for y in range(10):
-        for x in range(9):
-            w = area[y : y + 5, x : x + 4]
-            w = w - w.mean()
-            want[y, x] = (w * t).sum() / math.sqrt((w * w).sum() * (t * t).sum())
-    assert np.allclose(K.correlation_map(area, templ), want)
-    assert (K.correlation_map(area, np.ones((3, 3))) == 1).all()
-    assert (K.correlation_map(np.ones((9, 9)), templ) == 0).all()
+@pytest.mark.parametrize(("shape", "patch", "radius", "margin"), [((40, 33), 8, 6, 2), ((24, 60), 7, 9, 1), ((21, 20), 6, 30, 3)])
+def test_best_matches_equal_loops(shape, patch, radius, margin):
+    img = RNG.integers(0, 256, shape)
+    img[: shape[0] // 2, : shape[1] // 2] = 9  # no variance
+    h, w = shape
+    half = patch // 2
+    centres = np.array([(half, half), (w // 2, h // 2), (w - half - 1, h - half - 1), (w - 6, 8), (0, 0), (w - 1, h // 2)])
+    want = []
+    for x, y in centres:
+        here = img[y - half : y - half + patch, x - half : x - half + patch].astype(float) if min(x, y) >= half else np.zeros((0, 0))
+        rows = range(max(0, y - radius - half), min(h, y + radius + half) - patch + 1)
+        cols = range(max(0, x - radius - half), min(w, x + radius + half) - patch + 1)
+        best = -1.0
+        if here.shape != (patch, patch) or min(len(rows), len(cols)) < 3:
+            want.append(0.0)
+            continue
+        here = here - here.mean()
+        for top in rows:
+            for left in cols:
+                if max(abs(top - y + half), abs(left - x + half)) > margin:
+                    there = img[top : top + patch, left : left + patch] - img[top : top + patch, left : left + patch].mean()
+                    size = (here**2).sum() * (there**2).sum()
+                    best = max(best, 1.0 if not here.any() else (here * there).sum() / math.sqrt(size) if there.any() else 0.0)
+        want.append(np.clip((best + 1) / 2, 0, 1))
+    assert np.allclose(K.best_matches(img, centres, patch, radius, margin), want)
 
 
 def test_repeating_texture_matches_itself():
