@@ -6,7 +6,7 @@ COORDINATES + k it is bin k, so that every bin fills. Two sketches agree in a bi
 the sets' similarity, concentrated as for independent hashes. Bands of ROWS bins become bucket keys: a pair
 of similarity 0.8 misses all of the 32 bands with probability 5e-8.
 
-Shingles are hashed to 64 bits from keyed hashes of their words. Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
+Shingles are hashed to 64 bits from 124-bit digests of their words. Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
 centre's family: two nodes of one bucket are in one family. In a family all pairs are decided on the full
 sets, but for those of nodes that are both linked with the centre and so already in one component. A family
 of very many shingles is dealt out by pairs of its parts.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, map_batches, materialize, read_table, unused
 from tessera.llm.components import connected
+from tessera.llm.hashing import BASE, MULTIPLIERS, digests, mix
 
 COORDINATES, ROWS = 128, 4
 #: Link sets whose intersection times PER is at least AT_LEAST times their union.
@@ -34,39 +35,21 @@ WORDS = 5
 PART = 2_000_000
 SKETCH_SCHEMA = "doc_id long, digest binary, n_shingles long, sid binary, bands array<long>"
 SETS_SCHEMA = "sid binary, shingles binary"
-BASE = np.uint64(0x9E3779B97F4A7C15)
-MULTIPLIERS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: Key of the words' hashes: no one finds words that collide without it.
-KEY = b"tessera: words of shingles"
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser: every bit of the input reaches every bit of the output."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * MULTIPLIERS[0]
-    x = x ^ (x >> np.uint64(27))
-    x = x * MULTIPLIERS[1]
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hash(word: str) -> int:
-    """A keyed cryptographic hash: polynomials and the like have words, or families of words, that collide."""
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, key=KEY).digest(), "little")
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The set of each text as sorted 64-bit hashes of its distinct shingles.
 
-    Words are split, folded and numbered by Arrow, whose ASCII white space is the bytes 0x20 and 0x09 to
-    0x0D, and only distinct ones hashed. With fewer words than a shingle has, the whole sequence is one;
-    without words, or null: an empty set.
+    Words are split and folded by Arrow, whose ASCII white space is the bytes 0x20 and 0x09 to 0x0D. With
+    fewer words than a shingle has, the whole sequence is one; without words, or null: an empty set.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    numbered = lists.flatten().dictionary_encode()
-    kinds = numbered.dictionary.to_pylist()
-    index = numbered.indices.to_numpy(zero_copy_only=False)
-    some = np.array([bool(w) for w in kinds], bool)[index] if kinds else np.zeros(0, bool)
-    word = np.fromiter(map(word_hash, kinds), np.uint64, len(kinds))[index[some]]
+    flat = lists.flatten()
+    edges = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_string(flat.type) else np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    some = np.diff(edges) > 0
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
+    h1, h2 = digests(data, edges[:-1][some], edges[1:][some])
+    word = mix(mix(h1.view(np.uint64)) + h2.view(np.uint64) * MULTIPLIERS[2])
     ends = np.r_[0, np.cumsum(some)][np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
     place = [mix(np.array([k + 1], np.uint64) * BASE) | np.uint64(1) for k in range(words + 1)]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, map_batches, materialize, read_table
-from tessera.llm.minhash import BASE, mix
+from tessera.llm.hashing import BASE, digests, mix
 
 LENGTH, GRAM = 200, 64
 #: Bytes of a trigger window between phrases, and the mean distance of such windows.
@@ -39,9 +39,6 @@ HOT = 2000
 DICTIONARY = 1 << 20
 PARSE_SCHEMA = "trigger long, p1 long, p2 long, k1 long, k2 long, place long, doc_id long"
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: The field of the digests, and four points of it at which strings are evaluated as polynomials: 124 bits in all.
-FIELD = (1 << 31) - 1
-POINTS = (1_198_754_321, 914_063_777, 1_741_330_883, 502_290_119)
 
 
 @cache
@@ -54,29 +51,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@cache
-def field_powers(point: int, n: int) -> np.ndarray:
-    """Powers of a point of the field, by doubling."""
-    p, size = np.ones(n, np.uint64), 1
-    while size < n:
-        more = min(size, n - size)
-        p[size : size + more] = p[:more] * np.uint64(pow(point, size, FIELD)) % np.uint64(FIELD)
-        size += more
-    return p
-
-
-def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 62-bit digests of the bytes lo to hi (not included) of each: polynomials at four points of a prime field."""
-    out, wide = [], 1 << len(data).bit_length()
-    for point in POINTS:
-        total = np.zeros(len(data) + 1, np.uint64)
-        # Summands have 40 bits and data at most 21 bits of bytes: the sums stay below 2 ** 64.
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * field_powers(point, wide)[: len(data)], out=total[1:])
-        back = field_powers(pow(point, -1, FIELD), wide)
-        out.append((total[hi] - total[lo]) % np.uint64(FIELD) * back[lo] % np.uint64(FIELD))
-    return ((out[0] << np.uint64(31)) | out[1]).view(np.int64), ((out[2] << np.uint64(31)) | out[3]).view(np.int64)
-
-
 def rolling(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each gram of the data."""
     power, back = powers(1 << len(data).bit_length())
@@ -352,8 +326,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = F.struct("doc_id", "k1", "k2", "place")
     dictionary = shared.where("NOT same").groupBy("trigger", "p1", "p2").agg(F.count(F.lit(1)).alias("m"), F.min(least).alias("least"))
     dictionary = materialize(dictionary, "dictionary")
-    crowds = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT).select("trigger", F.lit(True).alias("hot"))
-    known = materialize(dictionary.join(crowds, "trigger", "left"), "known")
+    crowds = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT)
+    crowds = materialize(crowds.select("trigger", F.lit(True).alias("hot")), "crowds")
+    known = dictionary.join(crowds, "trigger", "left")
     rest = shared.where("NOT same").join(known, ["trigger", "p1", "p2"])
     gives = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")) & (F.col("place") == F.col("least.place"))
     state = F.when(F.col("m") == 1, OPEN).when(gives, GIVES).otherwise(SURE)
@@ -380,7 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return run
 
     first = materialize(map_batches(both, f"doc_id long, k1 long, k2 long, {RESULT}, open binary, raw binary", first_pass), "first-pass")
-    discard(triggers, shared, dictionary, known, by_text)
+    discard(triggers, shared, dictionary, crowds, by_text)
 
     def passages_of():
         def run(batch):
