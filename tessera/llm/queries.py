@@ -17,6 +17,7 @@ from tessera.llm.minhash import op8_minhash_dedup
 from tessera.llm.minhash import oracle as minhash_oracle
 from tessera.llm.records import op1_token_records
 from tessera.llm.secrets import op10_secret_scan
+from tessera.llm.secrets import oracle as secret_oracle
 from tessera.llm.suffix import op6_suffix_dedup
 from tessera.llm.suffix import oracle as suffix_oracle
 
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": license_oracle(),
     "op6_suffix_dedup": suffix_oracle(),
     "op8_minhash_dedup": minhash_oracle(),
+    "op10_secret_scan": secret_oracle(),
 }

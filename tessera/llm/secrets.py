@@ -153,4 +153,45 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over documents: one row a document, whole texts; null and empty texts have no spans."""
     return scan(read_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def oracle() -> str:
+    """The same scan as DuckDB SQL, by expressions alone: places come from the lengths of what lies between matches."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
+    assign = f"({names})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    # A token's keyword, and then the text up to the next one: 36 letters and digits, and no more of them.
+    carrying = " UNION ALL ".join(f"SELECT {k} AS k, '{KINDS[k]}' AS kind, r, t, '{word}' AS re FROM texts WHERE regexp_matches(t, '{word}')" for k, word in ((3, "gh[pousr]_"), (4, "npm_")))
+    plain = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{KINDS[k]}' AS kind, r, regexp_extract_all(t, '{e}') AS found, string_split_regex(t, '{e}') AS between FROM texts"
+        for k, e in ((0, assign), (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"))
+    )
+    digit = lambda n: f"substr('{BASE62}', (crc // {62**n} % 62 + 1)::INT, 1)"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+plain AS ({plain}),
+pieces AS (SELECT k, kind, r, unnest(found) AS s, unnest(between[1:len(found)]) AS before, generate_subscripts(found, 1) AS i FROM plain WHERE len(found) > 0),
+placed AS (SELECT k, kind, r, s, (sum(length(before) + length(s)) OVER (PARTITION BY k, r ORDER BY i) - length(s))::BIGINT AS a FROM pieces),
+base AS (
+  SELECT k, kind, r, a, a + length(s) AS b FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, '^{assign}$', 2)) >= {MIN_ASSIGN} WHEN 'access' THEN length(s) >= {MIN_ACCESS} ELSE length(s) >= 24 END),
+carrying AS ({carrying}),
+heads AS (
+  SELECT k, kind, r, unnest(between[2:]) AS after, generate_subscripts(between[2:], 1) AS i, len(between) - 1 AS n, unnest(between[1:len(between) - 1]) AS before
+  FROM (SELECT *, string_split_regex(t, re) AS between FROM carrying)),
+tokens AS (
+  SELECT k, kind, r, after, (sum(length(before) + 4) OVER (PARTITION BY k, r ORDER BY i) - 4)::BIGINT AS a, i, n FROM heads),
+summed AS (
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(substr(after, 1, 30), ''), lambda c: ascii(c)::UBIGINT)), lambda c, b: {step})) AS crc
+  FROM tokens WHERE length(regexp_extract(after, '^[0-9A-Za-z]+')) = 36 AND (length(after) > 36 OR i = n)),
+checked AS (SELECT k, kind, r, a, a + 40 AS b FROM summed WHERE substr(after, 31, 6) = {" || ".join(digit(n) for n in range(5, -1, -1))}),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM checked),
+told AS (
+  SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k <= 2) AS based, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (r)"""

@@ -38,6 +38,23 @@ def test_embedded_checksums():
     assert secrets.redact_text(f"x {good} y") == "x [SECRET] y"
 
 
+def test_secrets_equal_their_sql():
+    random.seed(3)
+    body = lambda: "".join(random.choices(secrets.BASE62, k=30))
+    token = lambda b: f"{random.choice(('ghp_', 'gho_', 'npm_'))}{b}{secrets.base62_crc(b)}"
+    parts = ["token", "Secret", "PASSWORD", "api_key", "APIkey", "passwd", "=", ": ", '"', "'", " ", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "0123456789abcdef", "xyz", "İ", "ſecret", "Key", "é🙂", "\n", "ghp_", "npm_", "_", "gh", "g"]
+    texts = [None, "", token(body()), token(body()) + "x", "ghp_" + token(body())]
+    texts += ["".join(random.choice((random.choice(parts), random.choice(parts), token(body()))) for _ in range(random.randint(0, 12))) for _ in range(1500)]
+    con = duckdb.connect()
+    documents = __import__("pandas").DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  read by the SQL
+    got = {r[0]: r[1:] for r in con.sql(secrets.oracle()).fetchall()}
+    for k, t in enumerate(texts):
+        spans = secrets.find(t)
+        said = [",".join(f"{n}:{a}:{b}" for a, b, n in some) for some in ([x for x in spans if x[2] in secrets.BASE_KINDS], spans)]
+        assert got[k] == (*(sum(n == kind for *_, n in spans) for kind in secrets.BASE_KINDS), hashlib.sha256(said[0].encode()).hexdigest(), said[1]), t
+    assert sum("github" in g[4] for g in got.values()) > 100
+
+
 def test_secret_scan(spark):
     rows = secrets.scan(frame(spark, [*TEXTS, (20, "token = abcdef1 and AKIA" + "Q" * 16)])).collect()
     assert len(rows) == len(TEXTS) + 1
