@@ -26,6 +26,10 @@ from tessera.llm.common import map_batches, read_table
 
 #: Most MCUs in a row of a stored payload; more go to further rows, all of one length.
 COLUMNS = 256
+#: Most samples of a side.
+MOST = 65_535
+#: What reading a file that isn't a whole progressive JPEG raises.
+BROKEN = (TypeError, ValueError, KeyError, IndexError, StopIteration, struct.error)
 BASE = 256
 LOW = 2
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -61,10 +65,11 @@ def huffman(kind: int, number: int, codes: dict[int, int]) -> bytes:
     return segment(0xC4, bytes([kind << 4 | number, *(sum(n == k for n in codes.values()) for k in range(1, 17)), *order]))
 
 
-def scan(parts: list[tuple[int, int, int]], first: int, last: int, high: int, low: int, data: bytes) -> bytes:
-    """A scan segment of (component, DC table, AC table) with its entropy-coded data, stuffed."""
+def scan(parts: list[tuple[int, int, int]], first: int, last: int, high: int, low: int, data: list[bytes]) -> bytes:
+    """A scan segment of (component, DC table, AC table) with its entropy-coded data, stuffed, restart markers between them."""
     body = bytes([len(parts), *(x for c, d, a in parts for x in (c, d << 4 | a)), first, last, high << 4 | low])
-    return segment(0xDA, body) + data.replace(b"\xff", b"\xff\x00")
+    coded = [x.replace(b"\xff", b"\xff\x00") for x in data]
+    return segment(0xDA, body) + b"".join(bytes([0xFF, 0xD0 + (k - 1) % 8]) * (k > 0) + x for k, x in enumerate(coded))
 
 
 def packed(bits: np.ndarray) -> bytes:
@@ -89,11 +94,15 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """A progressive JPEG that holds the payload, whose length is a positive multiple of 64, in its coefficients."""
+def encode_payload(payload: bytes, restart: int = 0) -> bytes:
+    """A progressive JPEG that holds the payload, whose length is a positive multiple of 64, in its coefficients.
+
+    With `restart`, a marker stands after so many MCUs, from which reading can begin again.
+    """
     units = len(payload) // 64
     mcus = -(-units // 6)
-    rows = -(-mcus // COLUMNS)
+    # A side has at most MOST samples: very long payloads are wider.
+    rows = min(-(-mcus // COLUMNS), MOST // 16)
     columns = -(-mcus // rows)
     mcus = rows * columns
     blocks = np.zeros((6 * mcus, 64), np.uint8)
@@ -108,27 +117,35 @@ def encode_payload(payload: bytes) -> bytes:
         huffman(1, 0, {9 - LOW: 1}),
         huffman(1, 1, {n << 4: 4 for n in range(15)}),
     ]
+    if restart:
+        out.append(segment(0xDD, struct.pack(">H", restart)))
+    spans = lambda n: [(at, min(at + restart, n)) for at in range(0, n, restart)] if restart else [(0, n)]
     # DC: its top bit is 1 everywhere, so differences are 1, in each component's first block, and then 0.
     dc = np.empty((mcus, 6), np.uint8)
     dc[:, :4] = planes[0][:, 0].reshape(rows, 2, columns, 2).transpose(0, 2, 1, 3).reshape(-1, 4)
     dc[:, 4], dc[:, 5] = planes[1][:, 0], planes[2][:, 0]
     head = np.array([1, 0, 1, 0, 0, 0, 1, 0, 1, 1, 0, 1], np.uint8)
     together = [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
-    out.append(scan(together, 0, 0, 0, 8, packed(np.concatenate([head, np.zeros(6 * (mcus - 1), np.uint8)]))))
+    out.append(scan(together, 0, 0, 0, 8, [packed(np.concatenate([head, np.zeros(6 * (b - a - 1), np.uint8)])) for a, b in spans(mcus)]))
     bands = [(1, planes[0], 1, 5), (1, planes[0], 6, 63), (2, planes[1], 1, 63), (3, planes[2], 1, 63)]
     # AC: a code of one zero bit, then the seven bits from 64 + (b >> 2): a byte each.
     for c, plane, a, b in bands:
-        out.append(scan([(c, 0, 0)], a, b, 0, LOW, (plane[:, a : b + 1] >> LOW | (BASE >> LOW)).tobytes()))
+        data = plane[:, a : b + 1] >> LOW | (BASE >> LOW)
+        out.append(scan([(c, 0, 0)], a, b, 0, LOW, [data[i:j].tobytes() for i, j in spans(len(plane))]))
+
+    def refined(plane: np.ndarray, a: int, b: int, low: int) -> bytes:
+        bits, at = [], 0
+        for run, code in end_of_band(len(plane)):
+            bits += [code, (plane[at : at + run, a : b + 1] >> low & 1).ravel()]
+            at += run
+        return packed(np.concatenate(bits))
+
     for low in range(7, -1, -1):
-        out.append(scan(together, 0, 0, low + 1, low, packed(dc.ravel() >> low & 1)))
+        out.append(scan(together, 0, 0, low + 1, low, [packed(dc[i:j].ravel() >> low & 1) for i, j in spans(mcus)]))
         if low >= LOW:
             continue
         for c, plane, a, b in bands:
-            bits, at = [], 0
-            for run, code in end_of_band(len(plane)):
-                bits += [code, (plane[at : at + run, a : b + 1] >> low & 1).ravel()]
-                at += run
-            out.append(scan([(c, 0, 1)], a, b, low + 1, low, packed(np.concatenate(bits))))
+            out.append(scan([(c, 0, 1)], a, b, low + 1, low, [refined(plane[i:j], a, b, low) for i, j in spans(len(plane))]))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -203,8 +220,16 @@ def codes(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return out
 
 
-def dc_first(parts: list, bits: Bits, tables: dict, low: int) -> None:
-    places = [(c, (c.in_mcus() if len(parts) > 1 else np.arange(len(c.coefficients))[c.alone()].reshape(-1, 1)), tables[0, d]) for c, d, _ in parts]
+def places_of(parts: list) -> list[np.ndarray]:
+    """Block indices of each component of a scan, a row an MCU: in a scan of one component a block is one."""
+    if len(parts) > 1:
+        return [c.in_mcus() for c, *_ in parts]
+    c = parts[0][0]
+    return [np.arange(len(c.coefficients))[c.alone()].reshape(-1, 1)]
+
+
+def dc_first(parts: list, places: list[np.ndarray], bits: Bits, tables: dict, low: int) -> None:
+    places = [(c, p, tables[0, d]) for (c, d, _), p in zip(parts, places, strict=True)]
     lengths = {n for *_, t in places for (n, _), s in t.items() if s == 0}
     blocks = sum(p.size for _, p, _ in places)
     # Where each component's first block alone differs from the one before, the rest are codes of "no difference".
@@ -227,19 +252,18 @@ def dc_first(parts: list, bits: Bits, tables: dict, low: int) -> None:
         c.coefficients[p.ravel(), 0] = v.ravel() << low
 
 
-def dc_refine(parts: list, bits: Bits, low: int) -> None:
-    places = [(c, (c.in_mcus() if len(parts) > 1 else np.arange(len(c.coefficients))[c.alone()].reshape(-1, 1))) for c, *_ in parts]
-    width = sum(p.shape[1] for _, p in places)
-    plane = bits.run(width * len(places[0][1])).reshape(-1, width).astype(np.int32) << low
+def dc_refine(parts: list, places: list[np.ndarray], bits: Bits, low: int) -> None:
+    width = sum(p.shape[1] for p in places)
+    plane = bits.run(width * len(places[0])).reshape(-1, width).astype(np.int32) << low
     at = 0
-    for c, p in places:
+    for (c, *_), p in zip(parts, places, strict=True):
         c.coefficients[p.ravel(), 0] |= plane[:, at : at + p.shape[1]].ravel()
         at += p.shape[1]
 
 
-def ac_first(c: Component, bits: Bits, table: dict, a: int, b: int, low: int) -> None:
-    index = c.alone()
-    blocks = c.high * c.wide
+def ac_first(c: Component, index: np.ndarray | slice, bits: Bits, table: dict, a: int, b: int, low: int) -> None:
+    order = np.arange(len(c.coefficients))[index]
+    blocks = len(order)
     if len(table) == 1:
         # One code: every coefficient of the band has the same size and stands next to the one before.
         ((n, code), symbol) = next(iter(table.items()))
@@ -256,7 +280,6 @@ def ac_first(c: Component, bits: Bits, table: dict, a: int, b: int, low: int) ->
             value = np.where(value >> (size - 1), value, value - (1 << size) + 1)
             c.coefficients[index, a : b + 1] = value.reshape(blocks, -1) << low
             return
-    order = np.arange(len(c.coefficients))[index]
     run = 0
     for at in order.tolist():
         if run:
@@ -277,9 +300,9 @@ def ac_first(c: Component, bits: Bits, table: dict, a: int, b: int, low: int) ->
                 break
 
 
-def ac_refine(c: Component, bits: Bits, table: dict, a: int, b: int, low: int) -> None:
-    order = np.arange(len(c.coefficients))[c.alone()]
-    one, at, blocks = 1 << low, 0, c.high * c.wide
+def ac_refine(c: Component, index: np.ndarray | slice, bits: Bits, table: dict, a: int, b: int, low: int) -> None:
+    order = np.arange(len(c.coefficients))[index]
+    one, at, blocks = 1 << low, 0, len(order)
 
     def correct(some: np.ndarray, k: int) -> None:
         """A bit for each coefficient from k on that isn't zero so far, away from zero."""
@@ -358,25 +381,38 @@ def scans_of(data: bytes) -> tuple[dict, list[Component]]:
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("jpeg: not progressive")
         elif marker == 0xDA:
-            if head["restart"]:
-                raise ValueError("jpeg: restart intervals are not supported")
             by = {c.number: c for c in components}
             parts = [(by[body[1 + 2 * k]], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
             first, last, step = body[-3:]
-            end = at
+            stretches, start, end = [], at, at
             while True:
                 end = data.find(b"\xff", end)
                 if end < 0:
                     raise ValueError("jpeg: data end early")
                 if data[end + 1] != 0:
-                    break
+                    stretches.append(data[start:end])
+                    if not 0xD0 <= data[end + 1] <= 0xD7:
+                        break
+                    start = end + 2
                 end += 2
-            bits, at = Bits(data[at:end]), end
-            high, low = step >> 4, step & 15
-            if first == 0:
-                dc_refine(parts, bits, low) if high else dc_first(parts, bits, tables, low)
-            else:
-                (ac_refine if high else ac_first)(parts[0][0], bits, tables[1, parts[0][2]], first, last, low)
+            at, high, low = end, step >> 4, step & 15
+            c, table = parts[0][0], tables.get((1, parts[0][2]))
+            if not head["restart"] and first:
+                (ac_refine if high else ac_first)(c, c.alone(), Bits(stretches[0]), table, first, last, low)
+                continue
+            places = places_of(parts)
+            many = head["restart"] or len(places[0])
+            if len(stretches) != -(-len(places[0]) // many):
+                raise ValueError("jpeg: wrong number of restart markers")
+            # Each stretch is a scan of its own of the next so many MCUs.
+            for k, stretch in enumerate(stretches):
+                here = [p[k * many : (k + 1) * many] for p in places]
+                if first:
+                    (ac_refine if high else ac_first)(c, here[0].ravel(), Bits(stretch), table, first, last, low)
+                elif high:
+                    dc_refine(parts, here, Bits(stretch), low)
+                else:
+                    dc_first(parts, here, Bits(stretch), tables, low)
     head["quant"] = quant
     return head, components
 
@@ -464,20 +500,25 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Decode each stored file (doc_id, n_bytes, media): digests of payload and file, and the tensor's features."""
+    """Decode each stored file (doc_id, n_bytes, media): digests of payload and file, and the tensor's features.
+
+    Media that are null, or that aren't files of store_texts(): null in all columns but the given ones and the
+    file's size and digest. Null ids and repeated rows stay. No rows in: no rows out.
+    """
 
     def make():
         def run(batch):
             out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for data in batch.column(2).to_pylist():
-                head, components = scans_of(data)
-                payload = payload_of(head, components)
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-64:]))
-                out["media_bytes"].append(len(data))
-                out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-                out["feature"].append(feature(tensor(head, components)))
+                try:
+                    head, components = scans_of(data)
+                    payload = payload_of(head, components)
+                    found = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(tensor(head, components)))
+                except BROKEN:
+                    found = (None,) * 4
+                own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                for k, v in zip(out, (*found[:3], *own, found[3]), strict=True):
+                    out[k].append(v)
             return {"doc_id": batch.column(0), "n_bytes": batch.column(1), **out}
 
         return run
@@ -500,7 +541,7 @@ def decode_column(df: DataFrame, media_col: str = "media") -> DataFrame:
             try:
                 rgb = decode(bytes(data))
                 rows.append((rgb.shape[0], rgb.shape[1], rgb.tobytes()))
-            except (TypeError, ValueError, KeyError, IndexError, struct.error):
+            except BROKEN:
                 rows.append((None, None, None))
         return pd.DataFrame(rows, columns=["height", "width", "rgb"])
 

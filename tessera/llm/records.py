@@ -262,7 +262,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
                 ids, rows = some.column(0).to_pylist(), []
                 for doc, data in zip(ids, coder.encode_array(some.column(1)), strict=True):
                     if out is None:
-                        name, at, position = f"records-{part:06d}-{number:04d}", 0, 0
+                        name, at, position = f"records-{part:08d}-{number:04d}", 0, 0
                         out, number = fs.open_output_stream(f"{base}/{name}.{attempt}"), number + 1
                     raw = frame(data + end)
                     out.write(raw)
@@ -323,14 +323,20 @@ def read_one(folder: str, shard: str, offset: int, length: int, width: int) -> n
 
 
 def with_starts(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
-    """records with `start`: the ids of all documents before each one. One row a file is summed over, not one a document."""
+    """records with `start`: the ids of all documents before each one.
+
+    Files are summed in groups of ten thousand tasks' by their names, and groups by one row each.
+    """
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
-    files = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    bases = files.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return records.join(bases, "shard").withColumn("start", F.col("base") + F.col("start_in_shard"))
+    files = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("some", F.substring("shard", len("records-") + 1, 4))
+    before = lambda by: F.sum("n").over(by) - F.col("n")
+    groups = files.groupBy("some").agg(F.sum("n").alias("n")).select("some", before(Window.orderBy("some")).alias("first"))
+    bases = files.withColumn("base", before(Window.partitionBy("some").orderBy("shard"))).join(groups, "some")
+    return records.join(bases.select("shard", (F.col("first") + F.col("base")).alias("base")), "shard").withColumn("start", F.col("base") + F.col("start_in_shard"))
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 over documents: one row a document, from the records; null and empty texts have the end id alone."""
     import public_tokenizers
 
     folder = scratch(spark, "token-records")

@@ -174,6 +174,33 @@ def test_payloads_come_back(n):
     assert jpeg.payload_of(*jpeg.scans_of(file)) == jpeg.padded(raw)
 
 
+@pytest.mark.parametrize("restart", [1, 7, 300])
+def test_restart_markers(restart):
+    raw = jpeg.padded(random.Random(restart).randbytes(200_000))
+    plain, marked = jpeg.encode_payload(raw), jpeg.encode_payload(raw, restart)
+    assert jpeg.payload_of(*jpeg.scans_of(marked)) == raw and (jpeg.decode(marked) == jpeg.decode(plain)).all()
+    at = marked.index(b"\xff\xd0")
+    with pytest.raises(ValueError, match="jpeg"):
+        jpeg.scans_of(marked[:at] + marked[at + 2 :])
+
+
+def test_sides_stay_within_the_format(monkeypatch):
+    monkeypatch.setattr(jpeg, "COLUMNS", 2)
+    monkeypatch.setattr(jpeg, "MOST", 16 * 5)
+    raw = jpeg.padded(bytes(range(250)) * 40)
+    head, components = jpeg.scans_of(jpeg.encode_payload(raw))
+    assert head["height"] == 80 and jpeg.payload_of(head, components) == raw
+
+
+def test_broken_media(spark):
+    whole = jpeg.encode_payload(jpeg.padded(b"some text"))
+    bad = [None, b"", b"junk", whole[:100], whole[:-40], b"\xff\xd8\xff\xd9", whole.replace(b"payload", b"another")]
+    rows = spark.createDataFrame([(k, 1, m) for k, m in enumerate([whole, *bad])], jpeg.MEDIA_SCHEMA)
+    got = {r["doc_id"]: r for r in jpeg.read_media(rows).collect()}
+    assert len(got) == 8 and got[0]["payload_bytes"] == 64
+    assert all(got[k + 1]["payload_sha256"] is None and got[k + 1]["media_bytes"] == (None if m is None else len(m)) for k, m in enumerate(bad))
+
+
 def test_scans_read_bit_by_bit_give_the_same(monkeypatch):
     file = jpeg.encode_payload(jpeg.padded(b"some text \xff\x00 " * 60))
     want = [c.coefficients.copy() for c in jpeg.scans_of(file)[1]]
