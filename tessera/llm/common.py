@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -91,6 +93,13 @@ def slices(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE, most: int = BYTES_AT
         at = end
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers wait for their next task, of any stage, for a while."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], rows: int = ROWS_AT_ONCE, most: int = BYTES_AT_ONCE) -> DataFrame:
     """mapInArrow in slices of some rows; make() builds a worker's function once a task.
 
@@ -109,5 +118,6 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
                 out = f(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == t.type else pa.array(x, t.type, from_pandas=False) for x, t in ((out[t.name], t) for t in arrow)], schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)

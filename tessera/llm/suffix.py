@@ -21,22 +21,23 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, map_batches, materialize, read_table
+from tessera.llm.common import discard, map_batches, materialize, read_table, trim
 from tessera.llm.hashing import BASE, digests, mix
 
 LENGTH, GRAM = 200, 64
 #: Bytes of a trigger window between phrases, and the mean distance of such windows.
 WINDOW, MODULUS = 12, 24
+#: Bytes of texts that a worker takes at once.
+SLICE = 2 << 20
 #: Bytes parsed at once. Positions have 24 bits next to 40 bits of hash in the window minimum.
-PART = 1 << 19
+PART = 1 << 18
 #: Different passages from which on a trigger's group is dealt out over all tasks, string by string, by their digests.
 HOT = 2000
 #: Bytes of passages that are sorted at once; the passages of one trigger stay together.
-DICTIONARY = 1 << 20
+DICTIONARY = 1 << 19
 PARSE_SCHEMA = "trigger long, p1 long, p2 long, k1 long, k2 long, place long, doc_id long"
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -132,7 +133,7 @@ def parsed(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         return run
 
-    return map_batches(docs, PARSE_SCHEMA, make)
+    return map_batches(docs, PARSE_SCHEMA, make, most=SLICE)
 
 
 def classes(x: np.ndarray) -> np.ndarray:
@@ -328,6 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dictionary = materialize(dictionary, "dictionary")
     crowds = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT)
     crowds = materialize(crowds.select("trigger", F.lit(True).alias("hot")), "crowds")
+    crowded = not crowds.isEmpty()
     known = dictionary.join(crowds, "trigger", "left")
     rest = shared.where("NOT same").join(known, ["trigger", "p1", "p2"])
     gives = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")) & (F.col("place") == F.col("least.place"))
@@ -354,22 +356,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    first = materialize(map_batches(both, f"doc_id long, k1 long, k2 long, {RESULT}, open binary, raw binary", first_pass), "first-pass")
+    first = materialize(map_batches(both, f"doc_id long, k1 long, k2 long, {RESULT}, open binary, raw binary", first_pass, most=SLICE), "first-pass")
     discard(triggers, shared, dictionary, crowds, by_text)
 
-    def passages_of():
-        def run(batch):
-            out = {k: [] for k in ("trigger", "hot", "k1", "k2", "lo", "bytes")}
-            for k1, k2, rest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for lo, hi, hot, trigger in np.frombuffer(rest, "<i8").reshape(-1, 4).tolist():
-                    for k, v in zip(out, (trigger, bool(hot), k1, k2, lo, raw[lo : hi + length]), strict=True):
-                        out[k].append(v)
-            return out
+    def opened(batch, hot: bool) -> tuple[list, ...]:
+        """(trigger, k1, k2, lo, bytes) of the passages that wait for comparison, of triggers that are hot or not."""
+        rows = []
+        for k1, k2, rest, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(trigger, k1, k2, lo, raw[lo : hi + length]) for lo, hi, h, trigger in np.frombuffer(rest, "<i8").reshape(-1, 4).tolist() if bool(h) == hot]
+        return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [], [])
 
-        return run
+    def passages_of():
+        return lambda batch: dict(zip(("trigger", "k1", "k2", "lo", "bytes"), opened(batch, False), strict=True))
 
-    opened = first.where("open IS NOT NULL").select("k1", "k2", "open", "raw")
-    opened = map_batches(opened, "trigger long, hot boolean, k1 long, k2 long, lo long, bytes binary", passages_of)
+    waiting = first.where("open IS NOT NULL").select("k1", "k2", "open", "raw")
+    few = map_batches(waiting, "trigger long, k1 long, k2 long, lo long, bytes binary", passages_of, most=SLICE)
 
     def compare(batches):
         held: list[tuple[int, int, int, int, bytes]] = []
@@ -393,29 +394,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size += len(row[4])
         if held:
             yield settle(held)
+        held.clear()
+        trim()
 
-    cold = opened.where("NOT hot").select("trigger", "k1", "k2", "lo", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "k1 long, k2 long, starts binary")
+    cold = few.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "k1 long, k2 long, starts binary")
 
     # Strings of triggers that very many passages share: by digest, counted with partial sums in each task.
     def strings_of():
         def run(batch):
-            k1, k2, lo, raws = batch.columns
-            size = pc.binary_length(raws).to_numpy(zero_copy_only=False).astype(np.int64)
+            _, k1, k2, lo, raws = opened(batch, True)
+            if not raws:
+                return None
+            size = np.array([len(r) for r in raws])
             count = size - length + 1
             who = np.repeat(np.arange(len(size)), count)
             x = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
             at = (np.cumsum(size) - size)[who] + x
-            h1, h2 = digests(np.frombuffer(b"".join(raws.to_pylist()), np.uint8), at, at + length)
-            who = pa.array(who)
-            return {"k1": k1.take(who), "k2": k2.take(who), "x": pa.array(lo.to_numpy(zero_copy_only=False)[who.to_numpy()] + x), "h1": pa.array(h1), "h2": pa.array(h2)}
+            h1, h2 = digests(np.frombuffer(b"".join(raws), np.uint8), at, at + length)
+            return {k: pa.array(v) for k, v in (("k1", np.array(k1)[who]), ("k2", np.array(k2)[who]), ("x", np.array(lo)[who] + x), ("h1", h1), ("h2", h2))}
 
         return run
 
-    strings = map_batches(opened.where("hot").select("k1", "k2", "lo", "bytes"), "k1 long, k2 long, x long, h1 long, h2 long", strings_of, most=PART)
-    again = materialize(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2"), "again")
-    hot = strings.join(again, ["h1", "h2"]).select("k1", "k2", F.concat(le64("x"), le64("x")).alias("starts"))
-    starts = materialize(cold.union(hot).groupBy("k1", "k2").agg(F.collect_list("starts").alias("found")), "starts")
-    discard(again)
+    found = cold
+    if crowded:
+        strings = map_batches(waiting, "k1 long, k2 long, x long, h1 long, h2 long", strings_of, most=PART)
+        again = materialize(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2"), "again")
+        found = cold.union(strings.join(again, ["h1", "h2"]).select("k1", "k2", F.concat(le64("x"), le64("x")).alias("starts")))
+    starts = materialize(found.groupBy("k1", "k2").agg(F.collect_list("starts").alias("found")), "starts")
+    if crowded:
+        discard(again)
     late = first.where("n_removed IS NULL").select("doc_id", "k1", "k2", "removed", "raw").join(starts, ["k1", "k2"], "left").select("doc_id", "removed", "raw", "found")
 
     def second_pass():
@@ -430,7 +437,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return run
 
     done = first.where("n_removed IS NOT NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
-    return done.unionByName(map_batches(late, f"doc_id long, {RESULT}", second_pass)).unionByName(brief)
+    return done.unionByName(map_batches(late, f"doc_id long, {RESULT}", second_pass, most=SLICE)).unionByName(brief)
 
 
 def le64(column: str):
@@ -449,7 +456,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_batches(docs, "doc_id long, k1 long, k2 long, raw binary", make)
+    return map_batches(docs, "doc_id long, k1 long, k2 long, raw binary", make, most=SLICE)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
