@@ -109,12 +109,12 @@ PIXELS = """px AS (
   FROM embeddings, unnest(range(1, 65)) AS r(i))"""
 
 
-def filtered(name: str, taps: str, border: str = "mirror", value: str = "v") -> str:
-    """SQL of one filter over px: taps are rows (dx, dy, k)."""
-    at = (lambda c, d: f"greatest(0, least(7, {c} + {d}))") if border == "edge" else (lambda c, d: f"7 - abs(7 - abs({c} + {d}))")
+def filtered(name: str, taps: str, border: str = "mirror", source: str = "px", last: int = 7) -> str:
+    """SQL of one filter over images of last + 1 samples a side: taps are rows (dx, dy, k)."""
+    at = (lambda c, d: f"greatest(0, least({last}, {c} + {d}))") if border == "edge" else (lambda c, d: f"{last} - abs({last} - abs({c} + {d}) % {2 * last})")
     return f"""{name} AS (
-  SELECT p.image_id, p.x, p.y, sum(t.k * q.{value}) AS v FROM px p CROSS JOIN ({taps}) t(dx, dy, k)
-  JOIN px q ON q.image_id = p.image_id AND q.x = {at("p.x", "t.dx")} AND q.y = {at("p.y", "t.dy")} GROUP BY p.image_id, p.x, p.y)"""
+  SELECT p.image_id, p.x, p.y, sum(t.k * q.v) AS v FROM {source} p CROSS JOIN ({taps}) t(dx, dy, k)
+  JOIN {source} q ON q.image_id = p.image_id AND q.x = {at("p.x", "t.dx")} AND q.y = {at("p.y", "t.dy")} GROUP BY p.image_id, p.x, p.y)"""
 
 
 LAPLACIAN = filtered("lap", "VALUES (-1,-1,2.0::DOUBLE), (1,-1,2.0), (0,0,-8.0), (-1,1,2.0), (1,1,2.0)")
@@ -393,3 +393,5 @@ def score_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = score_composition
+
+from tessera import catalog_metrics  # noqa: E402, F401  registers its queries

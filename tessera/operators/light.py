@@ -33,11 +33,15 @@ def directional_loss(features: DataFrame, by: list[str] = BY) -> DataFrame:
     return one_feature(features, "dhfel", "DHFEL", by)
 
 
-def light_scores(features: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Exposure, illumination and blur scores and the optical score, all from one aggregate."""
-    a = features.groupBy(*by).agg(*[F.avg(c).alias(c) for c in (*EXPOSURE, "illum_iu", "goe", "dhfel")])
-    a = a.withColumn("exposure_score", 1.0 - (S.geo_mean(F.col("R_over"), F.col("I_over")) + S.geo_mean(F.col("R_under"), F.col("I_under"))))
+def scores_of(means: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Exposure, illumination and blur scores and the optical score, from the means of the features."""
+    a = means.withColumn("exposure_score", 1.0 - (S.geo_mean(F.col("R_over"), F.col("I_over")) + S.geo_mean(F.col("R_under"), F.col("I_under"))))
     a = a.withColumn("illumination_score", 1.0 - F.col("illum_iu"))
     a = a.withColumn("blur_score", 1.0 - F.sqrt((F.col("goe") + S.EPS) * (F.col("dhfel") + S.EPS)))
     out = a.withColumn("optical_score", S.geo_mean(F.col("exposure_score"), F.col("illumination_score"), F.col("blur_score"), guard=1e-6))
     return out.select(*by, "exposure_score", "illumination_score", "blur_score", "optical_score")
+
+
+def light_scores(features: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Scores from one aggregate."""
+    return scores_of(features.groupBy(*by).agg(*[F.avg(c).alias(c) for c in (*EXPOSURE, "illum_iu", "goe", "dhfel")]), by)

@@ -39,10 +39,13 @@ def style_metrics(features: DataFrame, by: list[str] = BY) -> DataFrame:
     return out
 
 
-def style_scores(features: DataFrame, by: list[str] = BY, include_blockiness: bool = True) -> DataFrame:
-    """Scores of each consistency and the style score; C_sharp is reported only."""
-    m = style_metrics(features, by)
+def scores_of(m: DataFrame, include_blockiness: bool = True) -> DataFrame:
+    """Metrics of style_metrics() with the scores of each consistency and the style score; C_sharp is reported only."""
     m = m.withColumns({f"{k}_score": S.slowly_falling(F.col(c)) for k, c in (("color", "C_color"), ("tone", "C_tone"), ("texture", "C_tex"), ("noise", "C_noise"), ("blockiness", "C_blk"))})
     both = S.geo_mean(F.col("noise_score"), F.col("blockiness_score"), guard=1e-6) if include_blockiness else F.col("noise_score")
     m = m.withColumn("compression_score", both)
     return m.withColumn("style_score", S.geo_mean(*(F.col(f"{k}_score") for k in ("color", "tone", "texture", "compression")), guard=1e-6))
+
+
+def style_scores(features: DataFrame, by: list[str] = BY, include_blockiness: bool = True) -> DataFrame:
+    return scores_of(style_metrics(features, by), include_blockiness)
