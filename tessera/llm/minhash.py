@@ -6,10 +6,10 @@ COORDINATES + k it is bin k, so that every bin fills. Two sketches agree in a bi
 the sets' similarity, concentrated as for independent hashes. Bands of ROWS bins become bucket keys: a pair
 of similarity 0.8 misses all of the 32 bands with probability 5e-8.
 
-Shingles are hashed to 64 bits from 124-bit digests of their words. Equal sets are one node. Each bucket has a centre, the node that shares the most buckets, and joins the
-centre's family: two nodes of one bucket are in one family. In a family all pairs are decided on the full
-sets, but for those of nodes that are both linked with the centre and so already in one component. A family
-of very many shingles is dealt out by pairs of its parts.
+Shingles are hashed to 64 bits from 124-bit digests of their words. Equal sets are one node. Each bucket has a
+centre, the node that shares the most buckets, and joins the centre's family: two nodes of one bucket are in
+one family. Members are compared with their centre on the full sets, and with each other where their distances
+from it allow a link and don't tie them already: no link between two nodes of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, map_batches, materialize, read_table, unused
+from tessera.llm.common import discard, map_batches, materialize, read_table, trim, unused
 from tessera.llm.components import connected
 from tessera.llm.hashing import BASE, MULTIPLIERS, digests, mix
 
@@ -31,8 +31,8 @@ COORDINATES, ROWS = 128, 4
 #: Link sets whose intersection times PER is at least AT_LEAST times their union.
 AT_LEAST, PER = 80, 100
 WORDS = 5
-#: Shingles in a part of a family; a task holds two parts at most.
-PART = 2_000_000
+#: Shingles of a family that one task compares with its centre, and those of a ring that a task holds.
+STAR, PART = 100_000, 2_000_000
 SKETCH_SCHEMA = "doc_id long, digest binary, n_shingles long, sid binary, bands array<long>"
 SETS_SCHEMA = "sid binary, shingles binary"
 
@@ -142,80 +142,136 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), SETS_SCHEMA, make)
 
 
-def family_links(sets: list[np.ndarray], at_least: int = AT_LEAST) -> list[tuple[int, int]]:
-    """Links between sets, by number, that tie together all that are similar enough; the first set is the centre.
+def common_with(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each of the sets has in common with one, all of them sorted and none empty."""
+    items = np.concatenate(sets)
+    hit = one[np.minimum(np.searchsorted(one, items), len(one) - 1)] == items
+    return np.add.reduceat(hit, np.cumsum([0, *(len(s) for s in sets[:-1])]), dtype=np.int64)
 
-    Each set that isn't linked with the centre is compared with all the others at once, by marks in a table
-    of the family's shingles.
-    """
-    sizes = np.array([len(s) for s in sets])
-    kinds, items = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    mark = np.zeros(len(kinds), np.uint8)
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+
+class Ties:
+    """Components of names: says of each link whether it ties two of them together that weren't."""
+
+    def __init__(self):
+        self.root: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (up := self.root.setdefault(x, x)) != x:
+            self.root[x] = x = self.root[up]
         return x
 
-    links, done = [], np.zeros(len(sets), bool)
-    for i in range(len(sets)):
-        if done[i]:
-            continue
-        own = items[starts[i] : ends[i]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[items], starts, dtype=np.int64)
-        mark[own] = 0
-        near = PER * common >= at_least * (sizes + sizes[i] - common)
-        for j in np.flatnonzero(near).tolist():
-            if (a := find(i)) != (b := find(j)):
-                root[b] = a
-                links.append((i, j))
-        done[i] = True
-        if i == 0:
-            done |= near
-    return links
+    def tie(self, a: bytes, b: bytes) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[b] = a
+        return a != b
+
+
+def near_of(held: list[np.ndarray], ones: list[np.ndarray], at_least: int = AT_LEAST) -> Iterator[np.ndarray]:
+    """For each of `ones`, the numbers of the held sets that are similar enough, by an index of the held sets' items."""
+    items = np.concatenate(held)
+    sizes = np.array([len(s) for s in held])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], np.repeat(np.arange(len(held)), sizes)[order]
+    for s in ones:
+        lo, hi = np.searchsorted(items, s), np.searchsorted(items, s, "right")
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(held))
+        yield np.flatnonzero(PER * common >= at_least * (sizes + len(s) - common))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, bool, list[tuple]]]:
+    """(key, whether the key is new, rows) for the rows of each batch that stand together under one key, their first columns."""
+    before = None
+    for batch in batches:
+        held: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:keys] != held[0][:keys]:
+                yield held[0][:keys], held[0][:keys] != before, held
+                before, held = held[0][:keys], []
+            held.append(row)
+        if held:
+            yield held[0][:keys], held[0][:keys] != before, held
+            before = held[0][:keys]
 
 
-def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
-    """Links (a, b) between the members of each family (centre, sid, n): enough of them to tie its components.
+def distances(families: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
+    """(centre, sid, n, ring, near) of each member of a family (centre, sid, n) but its centre.
 
-    A family of more than PART shingles is cut into parts by hash, and each pair of parts is a task's, with
-    the centre in each; so every pair of members meets, and no task holds an unbounded group.
+    near says that it is linked with the centre. A ring is as wide as a link is long: with t = 1 - at_least / PER,
+    ring k has the members whose distance from the centre, one less the similarity, is k t or more and less than
+    (k + 1) t. Members are dealt out by hash, STAR shingles to a task, and each task gets the centre.
     """
-    # Written, so that a centre of very many members is dealt out with its rows when they meet their parts.
-    parts = materialize(families.groupBy("centre").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")).where("parts > 1"), "parts")
+    parts = materialize(families.groupBy("centre").agg(F.ceil(F.sum("n") / STAR).cast("int").alias("parts")).where("parts > 1"), "parts")
     rows = families.join(parts, "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    every = F.flatten(F.transform(others, lambda i: F.transform(F.sequence(i, F.col("parts") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    mine = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    rows = rows.withColumn("task", F.explode(F.when(F.col("sid") == F.col("centre"), every).otherwise(mine)))
-    rows = rows.select("centre", "task.i", "task.j", (F.col("sid") != F.col("centre")).alias("later"), "sid").join(sets, "sid")
+    first = F.col("sid") == F.col("centre")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    rows = rows.withColumn("part", F.explode(F.when(first, every).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")))))
+    rows = rows.select("centre", "part", (~first).alias("later"), "sid").join(sets, "sid").select("centre", "part", "later", "sid", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, held = None, [], []
-
-        def settle() -> pa.RecordBatch:
-            pairs = family_links(held, at_least) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([names[k[e]] for k in pairs], pa.binary()) for e in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if held:
-                        yield settle()
-                    key, names, held = row[:3], [], []
-                names.append(row[4])
-                held.append(np.frombuffer(row[5], np.uint64))
-        if held:
-            yield settle()
+        centre = np.zeros(0, np.uint64)
+        for _, new, some in by_group(batches, 2):
+            if new:
+                centre, some = np.frombuffer(some[0][4], np.uint64), some[1:]
+            if some:
+                members = [np.frombuffer(r[4], np.uint64) for r in some]
+                common = common_with(centre, members)
+                n = np.array([len(s) for s in members])
+                union = n + len(centre) - common
+                ring = PER * (union - common) // (union * (PER - at_least)) if at_least < PER else np.zeros(len(n), np.int64)
+                near = PER * common >= at_least * union
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], pa.binary()) for k in (0, 3)] + [pa.array(x) for x in (n, ring, near)], names=["centre", "sid", "n", "ring", "near"])
+        trim()
+
+    dealt = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "later")
+    return materialize(dealt.mapInArrow(run, "centre binary, sid binary, n long, ring long, near boolean"), "distances")
+
+
+def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
+    """Links (a, b) between the members of each family (centre, sid, n): enough of them to tie its components.
+
+    Members linked with the centre are tied by that. The distance being a metric, two members with a link lie
+    in one ring around the centre or in neighbouring ones; those of ring 0 are tied already. So the members of each
+    ring from 1 on are compared with their own ring and the one before. A ring of more than PART shingles is cut
+    into parts by hash, and each pair of parts is a task's, so that none holds an unbounded group. A task holds
+    one part in an index by shingle, passes the other through it, and gives links that tie something only.
+    """
+    star = distances(families, sets, at_least)
+    ties = star.where("near").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+    if at_least >= PER:
+        return ties
+    held = star.where("ring > 0").select("centre", F.col("ring").alias("r"), "sid", "n")
+    groups = held.groupBy("centre", "r").agg(F.ceil(F.sum("n") / PART).cast("int").alias("rows"))
+    passed = star.select("centre", F.explode(F.array("ring", F.col("ring") + 1)).alias("r"), "sid", "n").where("r > 0").join(materialize(groups, "rings"), ["centre", "r"])
+    # A ring's members are passed through its own index too: a lone member with no other to meet is left out.
+    wide = passed.groupBy("centre", "r").agg(F.first("rows").alias("rows"), F.ceil(F.sum("n") / PART).cast("int").alias("columns"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    wide = materialize(wide, "rings")
+    pick = lambda parts: F.pmod(F.xxhash64("sid"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    rows = held.join(wide, ["centre", "r"]).select("centre", "r", pick("rows").alias("i"), each("columns").alias("j"), F.lit(1).alias("side"), "sid")
+    rows = rows.union(passed.drop("rows").join(wide, ["centre", "r"]).select("centre", "r", each("rows").alias("i"), pick("columns").alias("j"), F.lit(2).alias("side"), "sid"))
+    rows = rows.join(sets, "sid").select("centre", "r", "i", "j", "side", "sid", "shingles")
 
-    dealt = rows.select("centre", "i", "j", "later", "sid", "shingles").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "later")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, index, ties = [], [], Ties()
+        for _, new, some in by_group(batches, 4):
+            if new:
+                names, index, ties = [], [], Ties()
+            own = [r for r in some if r[4] == 1]
+            names += [r[5] for r in own]
+            index += [np.frombuffer(r[6], np.uint64) for r in own]
+            others = some[len(own) :]
+            if others and names:
+                found = []
+                for r, near in zip(others, near_of(index, [np.frombuffer(r[6], np.uint64) for r in others], at_least), strict=True):
+                    found += [(names[k], r[5]) for k in near.tolist() if names[k] != r[5] and ties.tie(names[k], r[5])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[e] for f in found], pa.binary()) for e in (0, 1)], names=["a", "b"])
+        trim()
+
+    dealt = rows.repartition("centre", "r", "i", "j").sortWithinPartitions("centre", "r", "i", "j", "side")
+    return ties.union(dealt.mapInArrow(run, "a binary, b binary"))
 
 
 def classify(docs: DataFrame, words: int, at_least: int) -> tuple[DataFrame, DataFrame]:

@@ -67,6 +67,27 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, part, n):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter((d, n, c, d == c) for (d, _), c, n in zip(rows, want, sizes, strict=True))
 
 
+@pytest.mark.parametrize(("star", "part"), [(100_000, 2_000_000), (400, 900)])
+def test_drifting_families_equal_all_pairs(spark, monkeypatch, star, part):
+    """Texts that change word by word, away from one beginning and back: members of many rings, with and without links."""
+    monkeypatch.setattr(minhash, "STAR", star)
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = random.Random(17)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        now = list(base)
+        for _ in range(45):
+            for _ in range(rng.choice((1, 1, 2, 6))):
+                k = rng.randrange(90)
+                now[k] = base[k] if rng.random() < 0.3 else f"x{rng.randrange(10**6)}"
+            rows.append((1000 - len(rows), " ".join(now)))
+    want, sizes = classes(rows, 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), words=4).collect()}
+    assert got == {d: (n, c) for (d, _), n, c in zip(rows, sizes, want, strict=True)}
+    assert 4 < len(set(want)) < 120
+
+
 def test_no_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     assert all(r["kept"] for r in minhash.near_duplicates(frame(spark, [(1, "a b c d e"), (2, None)])).collect())
