@@ -2,7 +2,8 @@
 
 A sparse logistic regression over word n-grams, n = 1 and 2, tells licence families, an unknown class of
 licence talk and other text apart. It is fitted on the driver, on the notices below, with an L1 penalty, and
-its probabilities are calibrated by a temperature. A text is cut at line ends; a paragraph that holds none of
+its probabilities are calibrated by a temperature
+that is set on lines it wasn't fitted on. A text is cut at line ends; a paragraph that holds none of
 the licence words has no n-gram of the model, and is passed over. A family that the classifier predicts is
 confirmed if enough of the words of one of its notices stand in the paragraph, and is unknown otherwise.
 A notice that is wrapped over lines is a paragraph too: where licence talk is left unconfirmed, neighbouring
@@ -76,6 +77,32 @@ OTHER = (
     "Common law has it that the author keeps the copy.",
     "The apache helicopter flew over the city.",
 )
+# Lines that the model isn't fitted on, by which its probabilities are calibrated.
+HELD = (
+    ("agpl-3.0", "You may copy this under the terms of the GNU Affero General Public License, version 3 of the License."),
+    ("apache-2.0", "This project is available under the Apache License 2.0, see LICENSE for details."),
+    ("apache-2.0", "Code is licensed under Apache-2.0."),
+    ("bsd", "Distributed under the 3-Clause BSD License."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without changes, are permitted."),
+    ("cc-by", "All pictures are licensed under a Creative Commons Attribution 4.0 license."),
+    ("cc-by-nc", "Photos by the author, licensed CC BY-NC 4.0."),
+    ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License 4.0."),
+    ("cc0", "The data set is dedicated to the public domain under CC0 1.0."),
+    ("gpl-2.0", "Released under the GNU General Public License version 2."),
+    ("gpl-3.0", "You can redistribute it under the terms of the GNU General Public License, version 3."),
+    ("lgpl", "This library is distributed under the GNU Lesser General Public License, version 2.1."),
+    ("mit", "The code is free to use under the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("mpl-2.0", "Subject to the terms of the Mozilla Public License, version 2.0."),
+    ("proprietary", "Copyright 2021 Example Corp. All rights reserved."),
+    ("unknown", "Released under the terms of the Example Community License."),
+    ("unknown", "The license of this library can be found on its page."),
+    ("unknown", "Provided without any warranty."),
+    ("unknown", "Licensed for use at one site only."),
+    ("none", "The driver had his license taken away in March."),
+    ("none", "A general of the army was given the rights to the land."),
+    ("none", "The library keeps a copy of each letter for the public."),
+)
 #: Words that every n-gram of the model holds one of; without any of them a paragraph can't be licence talk.
 LICENCE_WORDS = frozenset(
     "license licensed licence licensor mit apache apache-2.0 gnu gpl lgpl agpl bsd bsd-style mozilla mpl cc by-nc by-sa cc0 creative commons attribution-noncommercial attribution-sharealike attribution affero "
@@ -117,8 +144,8 @@ def model() -> tuple[list[str], list[float], dict[str, list[float]]]:
         p /= p.sum(1, keepdims=True)
         w -= speed * (x.T @ (p - y) / len(x))
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - speed * PENALTY, 0)
-    # Calibration: the temperature under which lines that lack a word each are the most likely.
-    held = [(" ".join(v for j, v in enumerate(t.split()) if j != i), k) for t, k in texts for i in range(0, len(t.split()), 3)]
+    # Calibration: the temperature under which lines that the model wasn't fitted on are the most likely.
+    held = [(t, classes.index(k)) for k, t in HELD]
     hx = np.zeros((len(held), x.shape[1]))
     for row, (t, _) in enumerate(held):
         hx[row, [at[g] for g in ngrams(t) if g in at]] = 1
@@ -129,7 +156,7 @@ def model() -> tuple[list[str], list[float], dict[str, list[float]]]:
         s = z * scale
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[rows, [k for _, k in held]]).mean())
 
-    w *= min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+    w *= min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
     w = np.round(w, DIGITS)
     return classes, w[-1].tolist(), {g: w[i].tolist() for g, i in at.items() if w[i].any()}
 
@@ -275,6 +302,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 over documents: one row a document, whole texts; null and empty texts have no paragraphs."""
     return scan(read_table(spark, sf_dir, "documents"))
 
 
