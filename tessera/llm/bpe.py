@@ -274,4 +274,5 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 over documents: one row a document, whole texts; null and empty texts have no ids."""
     return digests(encode_decode(read_table(spark, sf_dir, "documents")))

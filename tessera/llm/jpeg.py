@@ -552,4 +552,5 @@ def decode_column(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over documents: one row a document, whole texts; null and empty texts are one unit of zeros."""
     return read_media(store_texts(read_table(spark, sf_dir, "documents")))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ROWS_AT_ONCE, map_batches, read_table, tune, unused
 
-#: Bound of the training sample: about so many texts of each language, picked by a hash of their id.
-TEXTS_A_LANGUAGE = 400
+#: Bound of the training sample: about so many texts, and bytes of texts, of each language, picked by a hash of id and text.
+TEXTS_A_LANGUAGE, BYTES_A_LANGUAGE = 400, 4 << 20
 #: What a change of language within a text costs, in nats; a word speaks for no language by more than MOST.
 SWITCH, MOST = 14.0, 6.0
 #: Lengths of n-grams, added count, and share of a language's words that a script needs to be one of its own.
@@ -214,14 +214,16 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows with a language that aren't held out, by a sample of about TEXTS_A_LANGUAGE texts of each.
 
-    The sample takes ids by hash, at a rate from a count of each language's rows, which covers all of them.
+    The sample takes rows by a hash of id and text, at a rate from a count of each language's rows and bytes,
+    which covers all of them; rows with equal id and text are taken or left together. Null texts say nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    rates = {r["lang"]: min(1.0, TEXTS_A_LANGUAGE / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()
+    rates = {r["lang"]: min(1.0, TEXTS_A_LANGUAGE / r["n"], BYTES_A_LANGUAGE / max(r["size"], 1)) for r in sizes}
     if not rates:
         return Model([])
     rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("lang")]
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < rate * 1_000_003
     return Model([(r["text"], r["lang"]) for r in rows.where(pick).select("text", "lang").collect()])
 
 
@@ -269,5 +271,6 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 over documents: one row a document, whole texts; null texts and texts without a letter are `und`."""
     docs = read_table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
