@@ -233,8 +233,8 @@ def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> Da
 
     Members linked with the centre are tied by that. The distance being a metric, two members with a link lie
     in one ring around the centre or in neighbouring ones; those of ring 0 are tied already. So the members of each
-    ring from 1 on are compared with their own ring and the one before. A ring of more than PART shingles is cut
-    into parts by hash, and each pair of parts is a task's, so that none holds an unbounded group. A task holds
+    ring from 1 on are compared with their own ring and the one before. A ring is cut into parts of PART shingles by hash, and what it meets
+    into parts of its own, and each pair of parts is a task's, so that none holds an unbounded group. A task holds
     one part in an index by shingle, passes the other through it, and gives links that tie something only.
     """
     star = distances(families, sets, at_least)
@@ -242,15 +242,17 @@ def linked(families: DataFrame, sets: DataFrame, at_least: int = AT_LEAST) -> Da
     if at_least >= PER:
         return ties
     held = star.where("ring > 0").select("centre", F.col("ring").alias("r"), "sid", "n")
-    groups = held.groupBy("centre", "r").agg(F.ceil(F.sum("n") / PART).cast("int").alias("rows"))
+    groups = held.groupBy("centre", "r").agg(F.sum("n").alias("held")).select("centre", "r", "held", F.ceil(F.col("held") / PART).cast("int").alias("rows"))
     passed = star.select("centre", F.explode(F.array("ring", F.col("ring") + 1)).alias("r"), "sid", "n").where("r > 0").join(materialize(groups, "rings"), ["centre", "r"])
-    # A ring's members are passed through its own index too: a lone member with no other to meet is left out.
-    wide = passed.groupBy("centre", "r").agg(F.first("rows").alias("rows"), F.ceil(F.sum("n") / PART).cast("int").alias("columns"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    wide = materialize(wide, "rings")
+    # What is passed comes in parts no smaller than the index that each of them meets. A ring's members are passed
+    # through its own index too: a lone member with no other to meet is left out.
+    wide = passed.groupBy("centre", "r").agg(F.first("rows").alias("rows"), F.first("held").alias("held"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    columns = F.ceil(F.col("n") / F.greatest(F.lit(STAR), F.col("held") / F.col("rows"))).cast("int")
+    wide = materialize(wide.select("centre", "r", "rows", columns.alias("columns")), "rings")
     pick = lambda parts: F.pmod(F.xxhash64("sid"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     rows = held.join(wide, ["centre", "r"]).select("centre", "r", pick("rows").alias("i"), each("columns").alias("j"), F.lit(1).alias("side"), "sid")
-    rows = rows.union(passed.drop("rows").join(wide, ["centre", "r"]).select("centre", "r", each("rows").alias("i"), pick("columns").alias("j"), F.lit(2).alias("side"), "sid"))
+    rows = rows.union(passed.drop("rows", "held").join(wide, ["centre", "r"]).select("centre", "r", each("rows").alias("i"), pick("columns").alias("j"), F.lit(2).alias("side"), "sid"))
     rows = rows.join(sets, "sid").select("centre", "r", "i", "j", "side", "sid", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
