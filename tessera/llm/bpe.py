@@ -200,6 +200,26 @@ class Recent:
         return own
 
 
+    def of_list(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The same in the order of the pieces, what isn't remembered by this encoder."""
+        out = list(map(self.young.get, pieces))
+        miss = [k for k, v in enumerate(out) if v is None]
+        if miss:
+            names = list(map(pieces.__getitem__, miss))
+            found = list(map(self.old.get, names))
+            lack = [k for k, v in enumerate(found) if v is None]
+            for k, v in zip(lack, encode(list(map(names.__getitem__, lack))), strict=True):
+                found[k] = v
+            new = dict(zip(names, found, strict=True))
+            if len(self.young) + len(new) > self.most:
+                self.old, self.young = self.young, new
+            else:
+                self.young.update(new)
+            for k, v in zip(miss, found, strict=True):
+                out[k] = v
+        return out
+
+
 class Memory:
     """Encodes texts whose splitter is `find`, each distinct piece once and each distinct word once.
 

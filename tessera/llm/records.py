@@ -37,6 +37,8 @@ WHITE = r"\t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 UNEVEN = f" [ {WHITE}]|[{WHITE}] "
 #: Bytes of texts that are encoded at once.
 GATHER = 8 << 20
+#: A stop or comma at a word's end that is a piece of its own.
+STOPPED = r"[\pL\pN][.,]$"
 #: Words to a line when they are encoded together.
 JOINED = 500
 #: Words and pieces that a worker remembers, twice at most.
@@ -197,12 +199,11 @@ class Pieces:
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten()
         numbered = words.dictionary_encode()
-        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = self.of_distinct(numbered.dictionary)
         # A text's first word has no space before it: each is an entry of its own, after the distinct ones.
-        index[cuts[:-1]] = len(distinct) + np.arange(len(even))
-        own = self.memory.words.of(distinct)
-        entries = [*map(own.__getitem__, distinct), *self.memory.split_and_encode(words.take(pa.array(cuts[:-1])).to_pylist())]
+        index[cuts[:-1]] = len(entries) + np.arange(len(even))
+        entries += self.memory.split_and_encode(words.take(pa.array(cuts[:-1])).to_pylist())
         size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
         start = np.cumsum(size) - size
         table = np.frombuffer(b"".join(entries), f"<u{self.width}")
@@ -214,6 +215,24 @@ class Pieces:
             out[k] = ids[a:b].tobytes()
         return out.tolist()
 
+    def of_distinct(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words, each with a space before it: looked up without a stop at their ends, so that fewer are distinct."""
+        stopped = pc.match_substring_regex(words, STOPPED)
+        ended = words.filter(stopped)
+        stems = pa.concat_arrays([words.filter(pc.invert(stopped)), pc.utf8_slice_codeunits(ended, 0, -1)]).dictionary_encode()
+        found = np.empty(len(stems.dictionary), object)
+        found[:] = self.memory.words.of_list(stems.dictionary.to_pylist(), self.encode_plain)
+        each = found[stems.indices.to_numpy(zero_copy_only=False)]
+        plain = len(words) - len(ended)
+        marks = np.empty(len(ended), object)
+        marks[:] = self.stops["."]
+        marks[pc.ends_with(ended, ",").to_numpy(zero_copy_only=False)] = self.stops[","]
+        out = np.empty(len(words), object)
+        mask = stopped.to_numpy(zero_copy_only=False)
+        out[~mask] = each[:plain]
+        out[mask] = each[plain:] + marks
+        return out.tolist()
+
     def encode_plain(self, words: list[str]) -> list[bytes]:
         some = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
         found = self.tokenizer.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False)
