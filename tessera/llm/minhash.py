@@ -287,9 +287,11 @@ def classify(docs: DataFrame, words: int, at_least: int) -> tuple[DataFrame, Dat
     live = nodes.select("sid", "rep", "n", F.explode("bands").alias("band"))
     shared = live.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     live = materialize(live.join(shared, "band"), "buckets")
-    hubs = live.groupBy("sid").agg(F.sum(F.col("m") - 1).alias("hub"), F.first("rep.doc_id").alias("rep"))
-    # Sorted and merged at every size: the ids of a whole corpus aren't to be broadcast.
-    sets = docs.join(hubs.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    hubs = live.groupBy("sid").agg(F.sum(F.col("m") - 1).alias("hub"), F.first("rep").alias("rep"))
+    # Sorted and merged at every size: the ids of a whole corpus aren't to be broadcast. The digest tells rows
+    # without an id apart, however many there are.
+    reps = hubs.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest")).distinct().hint("merge")
+    sets = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("digest").eqNullSafe(F.col("rep_digest")), "left_semi").select("doc_id", "text")
     sets = sets_of(sets, words).join(hubs.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     buckets, live = live, live.select("sid", "n", "band").join(hubs.select("sid", "hub"), "sid")
@@ -312,8 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept only if so. Repeated rows with one id are all kept or all not: deduplicated() chooses among rows.
     Other columns are not read. No rows in: no rows out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.col(text_col).cast("string").alias("text"))
-    found, named = classify(docs, words, at_least)
+    text = F.col(text_col).cast("string")
+    found, named = classify(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text")), words, at_least)
     out = found.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))

@@ -109,8 +109,8 @@ def text_keys(raws: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in raws), "<i8").reshape(-1, 2)
 
 
-#: Where a passage's strings start: the first one's byte, and how many follow it, in eight bits or more.
-SPAN_BITS = 10
+#: A passage's place is its first string's byte, and in so many bits how many strings follow it.
+SPAN_BITS = 20
 
 
 def parsed(docs: DataFrame, length: int, gram: int) -> DataFrame:
