@@ -26,6 +26,8 @@ from tessera.llm.common import map_batches, read_table
 
 #: Most MCUs in a row of a stored payload; more go to further rows, all of one length.
 COLUMNS = 256
+#: Bytes of texts or files taken at once: planes and tensors are several times as large.
+SLICE = 1 << 20
 #: Most samples of a side.
 MOST = 65_535
 #: What reading a file that isn't a whole progressive JPEG raises.
@@ -496,7 +498,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return run
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), MEDIA_SCHEMA, make)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), MEDIA_SCHEMA, make, most=SLICE)
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -523,7 +525,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
         return run
 
-    return map_batches(media, READ_SCHEMA, make)
+    return map_batches(media, READ_SCHEMA, make, most=SLICE)
 
 
 def decode_column(df: DataFrame, media_col: str = "media") -> DataFrame:
